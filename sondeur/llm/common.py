@@ -80,22 +80,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _POS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that end words: ASCII white space, or everything in ASCII but letters and digits.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+MARKS = np.zeros(256, bool)
+MARKS[:128] = True
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+_UPPER = np.zeros(256, bool)
+_UPPER[0x80:0x9F] = True
+_UPPER[0x97] = False
 
 
 class Words:
-    """The words (runs without ASCII white space) of a run of texts, by numpy over their UTF-8 bytes.
+    """The words (runs of bytes that don't end words) of a run of texts, by numpy over their UTF-8 bytes.
 
-    doc: each word's text number.  start, length: bytes.  hash: 64 bits of the ASCII-lower-cased word.
+    doc: each word's text number.  start, length: bytes.  hash: 64 bits of the word with A-Z and À-Þ in lower case.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACE):
         base, n = int(offsets[0]), len(offsets) - 1
         buf = data[base : int(offsets[-1])]
         off = offsets - base
         self.n, self.buf, self.offsets = n, buf, off
-        word = ~_SPACE[buf]
+        word = ~ends[buf]
         begin = word.copy()
         begin[1:] &= ~word[:-1]
         inner = off[:-1][off[:-1] < len(buf)]
@@ -109,7 +116,9 @@ class Words:
             at = np.arange(len(buf), dtype=np.int64)
             first = np.repeat(self.start, np.diff(np.append(self.start, len(buf))))
             lead = int(self.start[0])
-            value = _FOLD[buf[lead:]].astype(np.uint64) + np.uint64(1)
+            fold = _FOLD[buf[lead:]]
+            fold[1:] += (_UPPER[buf[lead + 1 :]] & (buf[lead:-1] == 0xC3)).astype(np.uint8) * np.uint8(32)
+            value = fold.astype(np.uint64) + np.uint64(1)
             value *= _POS[(at[lead:] - first) & 255]
             value *= word[lead:]
             self.hash = mix64(np.add.reduceat(value, self.start - lead) ^ (total.astype(np.uint64) << np.uint64(48)))
