@@ -36,6 +36,18 @@ MARGIN = 0.15
 _BYTES = 4 << 20
 
 
+def shingle_keys(w: Words, place: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the run of `size` words that begins at each word (`place` in its text), and where such runs begin."""
+    key = w.hash.copy()
+    begins = place <= np.repeat(np.maximum(w.count - size, 0), w.count)
+    left = np.repeat(w.count, w.count) - place
+    for k in range(1, size):
+        later = np.zeros(len(key), np.uint64)
+        later[:-k or None] = w.hash[k:]
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, later, np.uint64(k)))
+    return key, begins
+
+
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, 40-bit shingle, weight) of each distinct shingle, sorted, and each text's digest (0: no words)."""
     w = Words(data, offsets, MARKS)
@@ -49,13 +61,7 @@ def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE
     spread = w.hash * (mix64(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1))
     sums = mix64(np.add.reduceat(spread, first[has]) ^ mix64(w.count[has].astype(np.uint64)))
     digest[has] = np.where(sums == 0, np.uint64(1), sums).view(np.int64)
-    key = w.hash.copy()
-    begins = place <= np.repeat(np.maximum(w.count - size, 0), w.count)
-    left = np.repeat(w.count, w.count) - place
-    for k in range(1, size):
-        later = np.zeros(total, np.uint64)
-        later[:-k or None] = w.hash[k:]
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, later, np.uint64(k)))
+    key, begins = shingle_keys(w, place, size)
     packed = (w.doc.astype(np.uint64) << np.uint64(40) | key >> np.uint64(24))[begins]
     packed.sort()
     new = np.ones(len(packed), bool)
@@ -234,7 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = stored(e, "small")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", F.col("v").alias("root")).distinct())
         mark = now
 
 
