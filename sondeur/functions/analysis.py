@@ -1,7 +1,7 @@
-"""Analyzers: text to terms, as built-in column expressions for indexing and as plain Python for queries.
+"""Analyzers: text to terms.
 
-A text's terms come as one array in which a null marks a positional gap, so that a term's place in the array is its
-position.  Everything stays in the JVM; only stemming runs in Python, and then over distinct words alone.
+The JVM finds a text's words, by built-in expressions; what a word becomes (folded, stripped, stemmed) is worked out in
+Python once for each distinct word of a batch.  Queries go through the same functions.
 """
 
 from __future__ import annotations
@@ -33,45 +33,22 @@ _MARKS = (
 SEPARATORS = _ASCII_SEPARATORS + _MARKS
 #: Marks that are dropped from within words; those that also separate never get there.
 INTRA = "'_’‘‐‑‒⁻₋－＿＇′‵‛″‶"
-_GAP = "\x01"
+#: Stands for a sentence's end among a text's words.
+GAP = "\x01"
 
 
 def _cls(chars: str) -> str:
     """chars escaped for use within [ ] in Java, RE2 and Python alike."""
-    return "".join("\\" + c if c in "[]\\^-&~|#\"" and c != '"' else c for c in chars)
+    return "".join("\\" + c if c in "[]\\^-&~|#" else c for c in chars)
 
 
 _SENTENCE = f"[.,;?!][{_BLANKS}]+"
-_APART = _cls(SEPARATORS) + _BLANKS + _GAP
-
-
-@cache
-def _translation() -> tuple[str, str]:
-    """(from, to) that lowers A-Z, folds single letters and drops marks within words, in one pass; separators stay."""
-    a, b = folding.single()
-    keep = [(x, y) for x, y in zip(a, b, strict=True) if x not in SEPARATORS and x not in INTRA]
-    return "".join(x for x, _ in keep) + INTRA, "".join(y for _, y in keep)
-
-
-def _multiple() -> list[tuple[str, str]]:
-    return [(a, b) for a, b in folding.multiple() if a not in SEPARATORS and b.isalnum()]
-
-
-def prepared(text: Column, sentence: str = _SENTENCE) -> Column:
-    """Lower-case folded text in which sentence ends are gap characters and marks within words are gone."""
-    out = F.lower(F.regexp_replace(F.translate(text, _GAP, " "), sentence, _GAP))
-    out = F.translate(out, *_translation())
-    for a, b in _multiple():
-        if a in "ßæœþ":
-            out = F.replace(out, F.lit(a), F.lit(b))
-    rare = [(a, b) for a, b in _multiple() if a not in "ßæœþ"]
-    full = out
-    for a, b in rare:
-        full = F.replace(full, F.lit(a), F.lit(b))
-    return F.when(out.rlike("[" + "".join(a for a, _ in rare) + "]"), full).otherwise(out)
-
-
-#: The longest run from a letter or digit to a letter or digit without separators, or a gap.
+_APART = _cls(SEPARATORS) + _BLANKS + GAP
+_LATIN = _cls("".join(c for c in SEPARATORS if ord(c) < 256)) + "\t\n\x0b\x0c\r \x85\xa0" + GAP
+_RARE = _cls("".join(c for c in SEPARATORS if ord(c) >= 256)) + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Ranges that hold all rare separators: a quick test of whether a text has any.
+_RARE_BLOCKS = "[\u1680\u2000-\u2bff\u2e00-\u303f\uff00-\uffef]"
+#: In SQL: the longest run from a letter or digit to a letter or digit without separators.
 WORD = f"[a-z0-9](?:[^{_APART}]*[a-z0-9])?"
 
 
@@ -93,18 +70,22 @@ class Analyzer:
 
     # Indexing
 
-    def terms(self, text: Column) -> Column:
-        """array<string> of terms; null is a gap.  Stemming is left to the index, which stems distinct terms."""
-        if self.chinese:
-            found = han.words(prepared(text, han.SENTENCE), _APART, _GAP)
-        else:
-            # one gap for each sentence, the last included, by an end mark
-            found = F.regexp_extract_all(F.concat(prepared(text), F.lit(_GAP)), F.lit(f"({WORD}|{_GAP})"), F.lit(1))
-        most = min(self.config.max_term_len, 250)
-        keep = lambda t: (t == _GAP) | (F.octet_length(t) <= most)
-        if self.config.ignore_stop_words:
-            keep = lambda t: (t == _GAP) | ((F.octet_length(t) <= most) & ~t.isin(*sorted(self.stop_words)))
-        return F.transform(F.filter(F.coalesce(found, F.array().cast("array<string>")), keep), lambda t: F.nullif(t, F.lit(_GAP)))
+    def words(self, text: Column) -> Column:
+        """array<string> of a text's words in lower case as they stand, each sentence followed by GAP."""
+        low = F.lower(F.regexp_replace(F.replace(text, F.lit(GAP), F.lit(" ")), han.SENTENCE if self.chinese else _SENTENCE, GAP))
+        even = F.when(low.rlike(_RARE_BLOCKS), F.regexp_replace(low, f"[{_RARE}]", " ")).otherwise(low)
+        one = han.PIECE if self.chinese else ""
+        out = F.regexp_extract_all(F.concat(even, F.lit(GAP)), F.lit(f"({one}[^{_LATIN}{han.EXCLUDED if self.chinese else ''}]+|{GAP})"), F.lit(1))
+        return F.coalesce(out, F.array().cast("array<string>"))
+
+    def term(self, word: str) -> str | None:
+        """What the index holds of a word, if anything."""
+        out = self.filtered(folding.fold(word))
+        if self.config.ignore_stop_words and out in self.stop_words:
+            return None
+        if self.stem and out:
+            out = self.stem(out)
+        return out if 0 < len(out.encode()) <= min(self.config.max_term_len, 250) else None
 
     # Queries
 
@@ -172,8 +153,9 @@ def sql_text(s: str) -> str:
 
 def prepared_sql(text: str) -> str:
     out = f"lower(regexp_replace(translate({text}, chr(1), ' '), {sql_text(_SENTENCE)}, chr(1), 'g'))"
-    out = f"translate({out}, {sql_text(_translation()[0])}, {sql_text(_translation()[1])})"
-    for a, b in _multiple():
+    single = [(a, b) for a, b in zip(*folding.single(), strict=True) if a not in SEPARATORS and a not in INTRA]
+    out = f"translate({out}, {sql_text(''.join(a for a, _ in single) + INTRA)}, {sql_text(''.join(b for _, b in single))})"
+    for a, b in ((a, b) for a, b in folding.multiple() if a not in SEPARATORS and b.isalnum()):
         out = f"replace({out}, {sql_text(a)}, {sql_text(b)})"
     return out
 
@@ -181,5 +163,5 @@ def prepared_sql(text: str) -> str:
 def terms_sql(text: str, max_len: int = 80, stop_words: tuple[str, ...] = ()) -> str:
     """A list of terms with nulls for gaps."""
     stops = f" AND t NOT IN ({', '.join(map(sql_text, sorted(stop_words)))})" if stop_words else ""
-    found = f"regexp_extract_all(concat({prepared_sql(text)}, chr(1)), {sql_text(WORD + '|' + _GAP)})"
+    found = f"regexp_extract_all(concat({prepared_sql(text)}, chr(1)), {sql_text(WORD + '|' + GAP)})"
     return f"list_transform(list_filter({found}, lambda t: t = chr(1) OR (strlen(t) <= {max_len}{stops})), lambda t: nullif(t, chr(1)))"

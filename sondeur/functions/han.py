@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Blocks of ideographs and of their compatibility forms, as ranges of code points.
 _RANGES = ((0x3300, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0x20000, 0x2A6DF), (0x2A700, 0x2CEAF), (0x2F800, 0x2FA1F))
 _MARKS = "·×…、《》『』【】"
@@ -49,7 +46,6 @@ def is_mark(c: str) -> bool:
     return c in _MARKS
 
 
-def words(prepared: Column, apart: str, gap: str) -> Column:
-    """Terms of a prepared text, gaps included."""
-    even = F.translate(prepared, "".join(_TABLE), "".join(_TABLE.values()))
-    return F.regexp_extract_all(F.concat(even, F.lit(gap)), F.lit(f"([{_HAN}]|{gap}|[^{apart}{_MARKS}{_HAN}]+)"), F.lit(1))
+#: Of a text whose rare separators are blanks: one ideograph, or what ends a word besides separators.
+PIECE = f"[{_HAN}]|"
+EXCLUDED = f"{_MARKS}{_HAN}"

@@ -2,25 +2,26 @@
 
 A collection is a DataFrame of one row a document: doc_id, `zones` (an array of (field, text, separation) in reading
 order), and any facet columns.  Positions run over all searched zones of a document; a sentence's end takes one place
-and a zone's end its separation.  One narrow pass makes all tokens of a document; one shuffle groups them by term and
-document.  A posting holds its document's field lengths, so scoring a term reads nothing else.
+and a zone's end its separation.  One narrow pass makes a document's postings; they are shuffled only to be laid out by term.
+A posting holds its document's field lengths, so scoring a term reads nothing else.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FieldConfig, IndexConfig
-from ..functions.analysis import Analyzer
+from ..functions.analysis import GAP, Analyzer
 
 ZONE = "struct<field:string,text:string,separation:int>"
 SEPARATION = 10
@@ -37,73 +38,151 @@ def zones_of(columns: dict[str, Column], separation: int = SEPARATION) -> Column
     return F.filter(F.array(*parts), lambda z: z["text"].isNotNull())
 
 
-def _positions(analyzer: Analyzer, scored: tuple[FieldConfig, ...]) -> Column:
-    """array<struct<f, t>> over a document's searched zones; null for gaps, so that places are positions."""
-    field_id = F.create_map(*[x for i, f in enumerate(scored) for x in (F.lit(f.name), F.lit(i))])
+def _with_words(collection: DataFrame, config: IndexConfig) -> DataFrame:
+    """collection with __words, __fields and __gaps of its searched zones, one entry a zone."""
+    analyzer, scored = Analyzer(config), config.scored
+    field_id = F.create_map(*[x for i, f in enumerate(scored) for x in (F.lit(f.name), F.lit(i))]) if scored else None
     kept = F.filter("zones", lambda z: z["field"].isin(*[f.name for f in scored]) & z["text"].isNotNull())
+    zones = collection.withColumn("__kept", F.coalesce(kept, F.array().cast(f"array<{ZONE}>")))
+    return zones.withColumns(
+        {
+            "__words": F.transform("__kept", lambda z: analyzer.words(z["text"])),
+            "__fields": F.transform("__kept", lambda z: F.element_at(field_id, z["field"])) if scored else F.array().cast("array<int>"),
+            "__gaps": F.transform("__kept", lambda z: F.coalesce(z["separation"], F.lit(0))),
+        }
+    ).drop("__kept")
 
-    def zone(z: Column) -> Column:
-        named = F.transform(analyzer.terms(z["text"]), lambda t: F.when(t.isNotNull(), F.struct(F.element_at(field_id, z["field"]).alias("f"), t.alias("t"))))
-        return F.concat(named, F.array_repeat(F.lit(None).cast("struct<f:int,t:string>"), z["separation"]))
 
-    return F.flatten(F.transform(kept, zone))
+@dataclass
+class _Tokens:
+    """Tokens of some documents: each one's document (by number), position, field and term (by code)."""
+
+    n: int
+    doc: np.ndarray
+    pos: np.ndarray
+    field: np.ndarray
+    code: np.ndarray
+    terms: list[str]
+
+    def lengths(self, fields: int) -> list[np.ndarray]:
+        return [np.bincount(self.doc[self.field == i], minlength=self.n).astype(np.int32) for i in range(fields)]
+
+
+#: Words that are looked at together.
+_WORDS_AT_ONCE = 1 << 20
+
+
+def _slices(words: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of documents that hold about _WORDS_AT_ONCE words; each has one document at least."""
+    zones = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(words.flatten()), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(zones)])]
+    i, n = 0, len(words)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + _WORDS_AT_ONCE, side="right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
+def _read(words: pa.Array, fields: pa.Array, gaps: pa.Array, term: Callable[[str], str | None]) -> _Tokens:
+    zones = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    per_zone = words.flatten()
+    sizes = pc.list_value_length(per_zone).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = per_zone.flatten().dictionary_encode()
+    numbers: dict[str, int] = {}
+    become = np.empty(len(coded.dictionary), np.int64)  # -1: no term; -2: a gap
+    for k, word in enumerate(coded.dictionary.to_pylist()):
+        made = None if word == GAP else term(word)
+        become[k] = -2 if word == GAP else -1 if made is None else numbers.setdefault(made, len(numbers))
+    code = become[coded.indices.to_numpy(zero_copy_only=False)] if len(become) else np.zeros(0, np.int64)
+    zone = np.repeat(np.arange(len(sizes)), sizes)
+    kept = code != -1
+    separation = gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.cumsum(kept) - kept + (np.cumsum(separation) - separation)[zone]
+    of = np.repeat(np.arange(len(zones)), zones)  # each zone's document
+    # what all documents before take, by zones: kept words and separations
+    taken = np.bincount(zone[kept], minlength=len(sizes)) + separation
+    before = np.concatenate([[0], np.cumsum(taken)])[np.cumsum(zones) - zones]
+    doc = of[zone]
+    pos = place - before[doc]
+    own = code >= 0
+    return _Tokens(len(zones), doc[own], pos[own], fields.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[zone[own]], code[own], list(numbers))
+
+
+def _batched(batches: Iterable[pa.RecordBatch], analyzer: Analyzer) -> Iterator[tuple[pa.RecordBatch, _Tokens]]:
+    """Slices of batches whose last columns are __words, __fields and __gaps, with their tokens."""
+    known: dict[str, str | None] = {}
+
+    def term(word: str) -> str | None:
+        if word not in known:
+            if len(known) > 1_000_000:  # only to bound memory: what is forgotten is worked out again
+                known.clear()
+            known[word] = analyzer.term(word)
+        return known[word]
+
+    for batch in batches:
+        n = batch.num_columns
+        for i, j in _slices(batch.column(n - 3)):
+            part = batch.slice(i, j - i)
+            yield part, _read(part.column(n - 3), part.column(n - 2), part.column(n - 1), term)
+
+
+_INPUT = ("__words", "__fields", "__gaps")
 
 
-def _stemmed(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """docs (doc_id, flat) with stems for terms: each batch stems its distinct terms once."""
-    stem = analyzer.stem
-    most = min(analyzer.config.max_term_len, 250)
+def tokens(collection: DataFrame, config: IndexConfig) -> DataFrame:
+    """(doc_id, pos, field_id, term) of every token."""
+    analyzer = Analyzer(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(1)
-            inner = flat.flatten()
-            coded = inner.field("t").dictionary_encode()
-            stems = [stem(t) for t in coded.dictionary.to_pylist()]
-            words = pa.array([s if len(s.encode()) <= most else None for s in stems], pa.string()).take(coded.indices)
-            ok = pc.is_valid(words)
-            valid = pc.and_(inner.is_valid(), ok)
-            made = pa.StructArray.from_arrays([inner.field("f"), words], ["f", "t"], mask=pc.invert(valid))
-            sizes = pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False)
-            ends = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, made)], ["doc_id", "flat"])
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def analysed(collection: DataFrame, config: IndexConfig) -> DataFrame:
-    """(doc_id, flat) of every document."""
-    analyzer = Analyzer(config)
-    docs = collection.select("doc_id", _positions(analyzer, config.scored).alias("flat"))
-    return _stemmed(docs, analyzer) if analyzer.stem else docs
+        for part, t in _batched(batches, analyzer):
+            terms = pa.array(t.terms, pa.string()).take(pa.array(t.code))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t.doc)), pa.array(t.pos, pa.int32()), pa.array(t.field, pa.int32()), terms], ["doc_id", "pos", "field_id", "term"])
 
+    return _with_words(collection, config).select("doc_id", *_INPUT).mapInArrow(run, f"doc_id {dict(collection.dtypes)['doc_id']}, pos int, field_id int, term string")
 
-def tokens(collection: DataFrame, config: IndexConfig) -> DataFrame:
-    """(doc_id, pos, field_id, term) of every token."""
-    flat = analysed(collection, config).select("doc_id", F.posexplode("flat").alias("pos", "x")).where("x IS NOT NULL")
-    return flat.select("doc_id", "pos", F.col("x.f").alias("field_id"), F.col("x.t").alias("term"))
 
+def build_postings(collection: DataFrame, config: IndexConfig) -> DataFrame:
+    """(term, doc_id, tf_<i>, pos_<i>, len_<i> ...), one row for each term of each document; i is a field's id.
 
-def _lengths(config: IndexConfig) -> list[Column]:
-    def length(i: int) -> Column:
-        return F.size(F.filter("flat", lambda x: x.isNotNull() & (x["f"] == i))).alias(f"len_{i}")
+    A document's tokens are grouped where they are made, so nothing is shuffled before postings are laid out.
+    """
+    analyzer, n, positions = Analyzer(config), len(config.scored), config.with_positions
+    names = ["term", "doc_id", *(f"{k}_{i}" for i in range(n) for k in (("tf", "pos") if positions else ("tf",))), *(f"len_{i}" for i in range(n))]
 
-    return [length(i) for i in range(len(config.scored))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in _batched(batches, analyzer):
+            key = t.doc * max(1, len(t.terms)) + t.code
+            order = np.argsort(key, kind="stable")  # positions stay in order
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            doc, code = t.doc[order][first], t.code[order][first]
+            cols = [pa.array(t.terms, pa.string()).take(pa.array(code)), part.column(0).take(pa.array(doc))]
+            for i in range(n):
+                mine = t.field[order] == i
+                tf = np.bincount(group[mine], minlength=len(first))
+                cols.append(pa.array(tf, pa.int32()))
+                if positions:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32()), pa.array(t.pos[order][mine], pa.int32())))
+            cols += [pa.array(length[doc]) for length in t.lengths(n)]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    kinds = {"term": "string", "doc_id": dict(collection.dtypes)["doc_id"]}
+    schema = ", ".join(f"{c} {kinds.get(c) or ('array<int>' if c.startswith('pos') else 'int')}" for c in names)
+    return _with_words(collection, config).select("doc_id", *_INPUT).mapInArrow(run, schema)
+
+
+def with_lengths(rows: DataFrame, config: IndexConfig) -> DataFrame:
+    """rows (any columns and _INPUT) with len_<i> for their words."""
+    analyzer, n = Analyzer(config), len(config.scored)
+    own = [c for c in rows.columns if c not in _INPUT]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in _batched(batches, analyzer):
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *(pa.array(x) for x in t.lengths(n))], [*own, *(f"len_{i}" for i in range(n))])
 
-def build_postings(collection: DataFrame, config: IndexConfig) -> DataFrame:
-    """(term, doc_id, tf_<i>, pos_<i>, len_<i> ...), one row for each term of each document; i is a field's id."""
-    n = range(len(config.scored))
-    rows = analysed(collection, config).select("doc_id", "flat", *_lengths(config)).select("doc_id", *[f"len_{i}" for i in n], F.posexplode("flat").alias("pos", "x")).where("x IS NOT NULL")
-    rows = rows.select(F.col("x.t").alias("term"), "doc_id", "pos", F.col("x.f").alias("f"), *[f"len_{i}" for i in n])
-    aggs = []
-    for i in n:
-        mine = F.col("f") == i
-        aggs.append(F.count(F.when(mine, 1)).cast("int").alias(f"tf_{i}"))
-        if config.with_positions:
-            aggs.append(F.sort_array(F.collect_list(F.when(mine, F.col("pos")))).alias(f"pos_{i}"))
-    aggs += [F.first(f"len_{i}").alias(f"len_{i}") for i in n]
-    return rows.groupBy("term", "doc_id").agg(*aggs)
+    kinds = dict(rows.dtypes)
+    return rows.select(*[F.col(f"`{c}`") for c in own], *_INPUT).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in own), *(f"len_{i} int" for i in range(n))]))
 
 
 def facet(collection: DataFrame, f: FieldConfig) -> Column:
@@ -180,18 +259,11 @@ def frequencies(postings: DataFrame) -> DataFrame:
 
 def build_index(collection: DataFrame, config: IndexConfig) -> Index:
     """A lazy index of a collection; `write` stores it."""
-    n = range(len(config.scored))
     facets = [f for f in config.fields if {"enum", "i64"} & set(f.storage)]
     kept = [f.name for f in config.fields if "text" in f.storage]
-    flat = analysed(collection, config).select(F.col("doc_id").alias("__id"), *_lengths(config)) if config.scored else None
     texts = F.transform(F.filter("zones", lambda z: z["field"].isin(*kept)), lambda z: F.struct(z["field"].alias("field"), z["text"].alias("text"))).alias("texts")
-    if Analyzer(config).stem and flat is not None:
-        # stemming runs in Python, so lengths come by a join; otherwise one pass makes everything
-        base = collection.join(flat, collection["doc_id"] == flat["__id"])
-        docs = base.select("doc_id", *[f"len_{i}" for i in n], *[facet(collection, f).alias(f.name) for f in facets], texts)
-    else:
-        base = collection.withColumn("flat", _positions(Analyzer(config), config.scored))
-        docs = base.select("doc_id", *_lengths(config), *[facet(collection, f).alias(f.name) for f in facets], texts)
+    rows = _with_words(collection, config).select("doc_id", *[facet(collection, f).alias(f.name) for f in facets], texts, *_INPUT)
+    docs = with_lengths(rows, config)
     postings = build_postings(collection, config)
     return Index(config, postings, docs, frequencies(postings))
 

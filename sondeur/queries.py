@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import FieldConfig, IndexConfig, SearchOptions
-from .functions.analysis import STOP_WORDS, Analyzer, prepared_sql, sql_text, terms_sql
+from .functions.analysis import GAP, STOP_WORDS, Analyzer, prepared_sql, sql_text, terms_sql
 from .operators import incremental, results
 from .operators.index import Index, build_index, build_postings, frequencies, number, one_zone, tokens, zones_of
 from .operators.search import Query, facet_values, search
@@ -173,8 +173,8 @@ def tok_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len({terms_sql('text')}) - len(list_filter({terms_sql('text')}, lambda x: x IS NOT NULL)) AS sentences FROM documents")
 def tok_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", Analyzer(DOCUMENTS).terms(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size(F.filter("t", lambda x: x.isNull())).alias("sentences"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", Analyzer(DOCUMENTS).words(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size(F.filter("t", lambda x: x == GAP)).alias("sentences"))
 
 
 @query(f"WITH w AS (SELECT lang, unnest({terms_sql('text')}) AS term FROM documents) SELECT lang, term, count(*) AS n FROM w WHERE term IS NOT NULL GROUP BY ALL")
@@ -203,7 +203,7 @@ def _han_sql() -> str:
     from .functions import analysis, han
 
     found = prepared_sql("text").replace(sql_text(analysis._SENTENCE), sql_text(han.SENTENCE))
-    pattern = f"[{han._HAN}]|{analysis._GAP}|[^{analysis._APART}{han._MARKS}{han._HAN}]+"
+    pattern = f"[{han._HAN}]|{analysis.GAP}|[^{analysis._APART}{han._MARKS}{han._HAN}]+"
     return f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all({found}, {sql_text(pattern)})) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM w WHERE term != chr(1) AND strlen(term) <= 80 GROUP BY ALL"
 
 
