@@ -283,13 +283,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # Rows that share a doc_id: judged by their digests as well, and one of equal ones stays.
     once = left.join(small(again, n), F.col("doc_id") == F.col("__id"), "left_anti")
     many = left.join(small(again, n), F.col("doc_id") == F.col("__id"), "left_semi")
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, "__node"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
             own = [weighted_shingles(data, offsets[i : j + 1])[3] for i, j in chunks(offsets, _BYTES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], [*docs.columns, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names)
 
     marked = many.mapInArrow(digest, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __node bigint")
     fine = found.where("keep").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of")).distinct()
