@@ -59,8 +59,10 @@ class IndexConfig:
     ignore_stop_words: bool = False
     stop_words: tuple[str, ...] | None = None
     max_term_len: int = 80
-    #: Directories of the postings table, by hash of the term.
+    #: Directories of the postings table, by hash of the term, and the tasks that write each one, by hash of the document,
+    #: so that the bucket of a term that is everywhere isn't one task's work.
     buckets: int = 64
+    spread: int = 4
 
     @property
     def scored(self) -> tuple[FieldConfig, ...]:
@@ -73,7 +75,8 @@ class IndexConfig:
 
 def preset(size: str, base: IndexConfig | None = None) -> IndexConfig:
     """Layouts for collections of a size: more buckets let a query read less of a larger index."""
-    return replace(base or IndexConfig(), buckets={"small": 8, "medium": 64, "large": 1024}[size])
+    buckets, spread = {"small": (8, 2), "medium": (64, 4), "large": (1024, 64)}[size]
+    return replace(base or IndexConfig(), buckets=buckets, spread=spread)
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,7 @@ from functools import cached_property, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,7 +236,8 @@ class Index:
     def write(self, path: str) -> Index:
         """Store the index; postings lie by hash of their term, sorted, so that a query reads few row groups."""
         by = F.pmod(F.xxhash64("term"), F.lit(self.config.buckets)).cast("int")
-        laid = self.postings.withColumn("bucket", by).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(self.config.spread))
+        laid = self.postings.withColumn("bucket", by).repartition("bucket", salt).sortWithinPartitions("bucket", "term", "doc_id")
         laid.write.partitionBy("bucket").parquet(f"{path}/postings")
         self.docs.write.parquet(f"{path}/docs")
         stored = read_index(self.docs.sparkSession, path, self.config)
@@ -272,7 +274,7 @@ def read_index(spark: SparkSession, path: str, config: IndexConfig) -> Index:
     postings = spark.read.parquet(f"{path}/postings")
     try:
         dictionary = spark.read.parquet(f"{path}/dictionary")
-    except Exception:  # an index that is still being written has none yet
+    except AnalysisException:  # an index that is still being written has none yet
         dictionary = frequencies(postings)
     return Index(config, postings, spark.read.parquet(f"{path}/docs"), dictionary)
 
