@@ -176,7 +176,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, date: str = DATE
 
     kind = dict(pages.dtypes)["page_id"]
     index = "page_id string, url string, file string, offset bigint, length bigint, payload_digest string, file_bytes bigint, file_sha256 string"
-    sorted_ = made.mapInArrow(place, f"file int, {_RECORD}").repartition(max(1, len(firsts)), "file").sortWithinPartitions("file", "key")
+    sorted_ = made.mapInArrow(place, f"file int, {_RECORD}").repartitionById(max(1, len(firsts)), "file").sortWithinPartitions("file", "key")
     done = stored(sorted_.mapInArrow(write, index), "index")
     commit(done, system, root)
     return done.select(F.expr(f"try_cast(page_id AS {kind})").alias("page_id"), "url", "file", "offset", "length", "payload_digest")
