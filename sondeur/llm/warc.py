@@ -76,7 +76,9 @@ def opening(file: str, date: str = DATE) -> bytes:
     return _member(head, block)
 
 
-def records(pages: DataFrame, date: str = DATE) -> DataFrame:
+def records(pages: DataFrame, date: str = DATE, whole: bool = True) -> DataFrame:
+    """(key, page_id, url, payload_digest, size, member) of every page; without `whole`, members are measured and let go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -84,7 +86,7 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
                 part = ids[k : k + 512]
                 made = [record("null" if i is None else i, u, h, date) for i, u, h in zip(part, batch.column(1).slice(k, 512).to_pylist(), batch.column(2).slice(k, 512).to_pylist(), strict=True)]
                 key, uri, digest, member = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part, pa.string()), pa.array(uri), pa.array(digest), pa.array([len(m) for m in member], pa.int64()), pa.array(member)], ["key", "page_id", "url", "payload_digest", "size", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part, pa.string()), pa.array(uri), pa.array(digest), pa.array([len(m) for m in member], pa.int64()), pa.array(member if whole else [None] * len(part), pa.binary())], ["key", "page_id", "url", "payload_digest", "size", "member"])
 
     return pages.select(F.col("page_id").cast("string"), "url", "html").mapInArrow(run, _RECORD)
 
@@ -100,7 +102,8 @@ def first_keys(made: DataFrame, roll: int) -> list[bytes]:
             at += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(sizes), pa.int32()), pa.array(start), batch.column(1)], ["key", "part", "start", "size"])
 
-    keys = stored(made.select("key", "size").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key binary, part int, start bigint, size bigint"), "keys")
+    sizes = stored(made.select("key", "size"), "sizes")  # the range sort reads its input twice, to sample it first
+    keys = stored(sizes.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key binary, part int, start bigint, size bigint"), "keys")
     parts = keys.groupBy("part").agg(F.sum("size").alias("n"))
     bases = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     placed = keys.join(small(bases, parts.count()), "part").select("key", F.floor((F.col("base") + F.col("start")) / F.lit(roll)).alias("file"))
@@ -152,8 +155,9 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, date: str = DATE
     uri = qualified(pages, folder)
     system, root = pafs.FileSystem.from_uri(uri)
     system.create_dir(root, recursive=True)
-    made = stored(records(pages, date), "records")
-    firsts = first_keys(made, roll)
+    # Records are made twice: once for their sizes, and again for the one shuffle that takes them to their files.  That is
+    # cheaper on disk than keeping them, and making them is deterministic.
+    firsts = first_keys(records(pages, date, whole=False), roll)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +180,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, date: str = DATE
 
     kind = dict(pages.dtypes)["page_id"]
     index = "page_id string, url string, file string, offset bigint, length bigint, payload_digest string, file_bytes bigint, file_sha256 string"
-    sorted_ = made.mapInArrow(place, f"file int, {_RECORD}").repartitionById(max(1, len(firsts)), "file").sortWithinPartitions("file", "key")
+    sorted_ = records(pages, date).mapInArrow(place, f"file int, {_RECORD}").repartitionById(max(1, len(firsts)), "file").sortWithinPartitions("file", "key")
     done = stored(sorted_.mapInArrow(write, index), "index")
     commit(done, system, root)
     return done.select(F.expr(f"try_cast(page_id AS {kind})").alias("page_id"), "url", "file", "offset", "length", "payload_digest")
