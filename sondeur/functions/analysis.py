@@ -80,7 +80,7 @@ class Analyzer:
 
     def term(self, word: str) -> str | None:
         """What the index holds of a word, if anything."""
-        out = self.filtered(folding.fold(word))
+        out = word if word.isascii() and word.isalnum() else self.filtered(folding.fold(word))
         if self.config.ignore_stop_words and out in self.stop_words:
             return None
         if self.stem and out:
