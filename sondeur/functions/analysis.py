@@ -19,20 +19,19 @@ from . import folding, han
 from .stemmer import stemmer
 
 STOP_WORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+    "their there these into such that then they this will with and are but for not the was an as at be by if in is it no of on or to a".split()
 )  # the usual list of search libraries
 
 _BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_ASCII_SEPARATORS = "[]\\(){}&|\"`<>#:;~^=-+*/?!,.@"
+_ASCII_SEPARATORS = "!\"#&()*+,-./:;<=>?@[\\]^`{|}~"
 #: Typographic marks that separate words: brackets, quotes, fullwidth and small forms, dashes, CJK stops.
 _MARKS = (
-    "。《》…•⁅⁆❲❳［］＼⁽₍❨❪（⸨⁾₎❩❫）⸩❴｛❵｝＆"
-    "\xab\xbb“”„❝❞❮❯＂❬❰＜❭❱＞＃：⁏；⁓～‸＾⁼₌＝⁺₊＋⁎＊"
-    "⁄／⁉？⁇！‼⁈，．＠–—‚‹›❛❜"
+    "\xab\xbb–—‚“”„•…‸‹›‼⁄⁅⁆⁇⁈⁉⁎⁏⁓⁺⁼⁽⁾₊₌₍₎❛❜❝❞❨❩❪❫❬❭❮❯❰❱❲❳❴❵⸨"
+    "⸩。《》！＂＃＆（）＊＋，．／：；＜＝＞？＠［＼］＾｛｝～"
 )
 SEPARATORS = _ASCII_SEPARATORS + _MARKS
 #: Marks that are dropped from within words; those that also separate never get there.
-INTRA = "'_’‘‐‑‒⁻₋－＿＇′‵‛″‶"
+INTRA = "'_‐‑‒‘’‛′″‵‶⁻₋＇－＿"
 #: Stands for a sentence's end among a text's words.
 GAP = "\x01"
 

@@ -22,7 +22,7 @@ from ..operators.index import SEPARATION, ZONE
 
 APART, NEXT, ATTRIBUTE = 3, 0, 2
 _SEPARATING = frozenset(
-    "td th li dt dd h1 h2 h3 h4 h5 h6 hr br caption figcaption blockquote footer header main aside section article nav pre kbd p summary textarea label button legend option".split()
+    "article aside blockquote br button caption dd dt figcaption footer h1 h2 h3 h4 h5 h6 header hr kbd label legend li main nav option p pre section summary td textarea th".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = ("script", "style")

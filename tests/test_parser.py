@@ -33,28 +33,28 @@ def read(text, analyzer=ASCII, phrases=True):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("", []), (" ", []), ("lorem ipsum", ["lorem", "ipsum"]), ("LoReM", ["lorem"]),
+        ("", []), (" ", []), ("alder birch", ["alder", "birch"]), ("AlDeR", ["alder"]),
         # operators stand right before a term, after a blank or nothing
-        ("-", []), (" ~", []), ("-lorem", ["-lorem"]), (" +lorem", ["+lorem"]), ("~lorem", ["~lorem"]), ("--lorem", ["-lorem"]), ("++lorem", ["+lorem"]),
-        ("- lorem", ["lorem"]), (" ~ lorem", ["lorem"]), ("lorem-ipsum", ["lorem", "ipsum"]), ("lorem~ipsum", ["lorem", "ipsum"]), ("lorem -ipsum", ["lorem", "-ipsum"]),
-        (" +~lorem -ipsum -~lorem", ["+~lorem", "-ipsum", "-~lorem"]), ("+-lorem", ["-lorem"]), ("-+lorem", ["+lorem"]), ("~-lorem", ["-~lorem"]),
+        ("-", []), (" ~", []), ("-alder", ["-alder"]), (" +alder", ["+alder"]), ("~alder", ["~alder"]), ("--alder", ["-alder"]), ("++alder", ["+alder"]),
+        ("- alder", ["alder"]), (" ~ alder", ["alder"]), ("alder-birch", ["alder", "birch"]), ("alder~birch", ["alder", "birch"]), ("alder -birch", ["alder", "-birch"]),
+        (" +~alder -birch -~alder", ["+~alder", "-birch", "-~alder"]), ("+-alder", ["-alder"]), ("-+alder", ["+alder"]), ("~-alder", ["-~alder"]),
         # around phrases and groups
-        ('"lorem"-ipsum', ["'lorem'", "-ipsum"]), ("(lorem)-ipsum", ["(lorem)", "-ipsum"]), ('ipsum-"lorem"', ["ipsum", "'lorem'"]), ("ipsum -(lorem)", ["ipsum", "-(lorem)"]),
-        ('"lorem ipsum"', ["'lorem ipsum'"]), ('"(lorem ipsum)"', ["'lorem ipsum'"]), ('lorem"lorem ipsum"', ["lorem", "'lorem ipsum'"]), ('"lorem ipsum', ["lorem", "ipsum"]),
-        ("“lorem ipsum”", ["'lorem ipsum'"]),
-        ("(lorem ipsum)lorem(lorem ipsum)", ["(lorem ipsum)", "lorem", "(lorem ipsum)"]), ("((lorem ipsum) lorem) (lorem()ipsum)", ["((lorem ipsum) lorem)", "(lorem () ipsum)"]),
-        ("(lorem ipsum", ["(?", "lorem", "ipsum"]), ("lorem) ipsum", ["lorem", "ipsum"]),
+        ('"alder"-birch', ["'alder'", "-birch"]), ("(alder)-birch", ["(alder)", "-birch"]), ('birch-"alder"', ["birch", "'alder'"]), ("birch -(alder)", ["birch", "-(alder)"]),
+        ('"alder birch"', ["'alder birch'"]), ('"(alder birch)"', ["'alder birch'"]), ('alder"alder birch"', ["alder", "'alder birch'"]), ('"alder birch', ["alder", "birch"]),
+        ("“alder birch”", ["'alder birch'"]),
+        ("(alder birch)alder(alder birch)", ["(alder birch)", "alder", "(alder birch)"]), ("((alder birch) alder) (alder()birch)", ["((alder birch) alder)", "(alder () birch)"]),
+        ("(alder birch", ["(?", "alder", "birch"]), ("alder) birch", ["alder", "birch"]),
         # fields
-        ("title:lorem ipsum", ["title:lorem", "ipsum"]), ("lorem title: ", ["lorem"]), ("title:(lorem body:ipsum)", ["title:(lorem body:ipsum)"]), ("title:~ lorem ipsum)", ["title:lorem", "ipsum"]),
-        ("title:~lorem ipsum)", ["~title:lorem", "ipsum"]), ("invalid: lorem ~ipsum)", ["invalid", "lorem", "~ipsum"]), ("http://localhost:8080 +lorem", ["http", "localhost", "8080", "+lorem"]),
-        ("title:-+lorem", ["+title:lorem"]), ("title:+-lorem", ["-title:lorem"]), ('title: "lorem ipsum"', ["title:'lorem ipsum'"]),
-        ("title:+(+lorem +ipsum) -(lorem ipsum) body:(lorem ~ipsum)", ["+title:(+lorem +ipsum)", "-(lorem ipsum)", "body:(lorem ~ipsum)"]),
-        ("+body:ipsum +http://localhost:8080 -(title:lorem)", ["+body:ipsum", "+http", "localhost", "8080", "-(title:lorem)"]),
-        ('title:"+lorem +ipsum" ~title:("lorem ipsum")', ["title:'lorem ipsum'", "~title:('lorem ipsum')"]),
-        ("title:(+lorem +body:(lorem ipsum)) -title:((body:\"lorem\") ipsum)", ["title:(+lorem +body:(lorem ipsum))", "-title:((body:'lorem') ipsum)"]),
+        ("title:alder birch", ["title:alder", "birch"]), ("alder title: ", ["alder"]), ("title:(alder body:birch)", ["title:(alder body:birch)"]), ("title:~ alder birch)", ["title:alder", "birch"]),
+        ("title:~alder birch)", ["~title:alder", "birch"]), ("invalid: alder ~birch)", ["invalid", "alder", "~birch"]), ("http://server:9090 +alder", ["http", "server", "9090", "+alder"]),
+        ("title:-+alder", ["+title:alder"]), ("title:+-alder", ["-title:alder"]), ('title: "alder birch"', ["title:'alder birch'"]),
+        ("title:+(+alder +birch) -(alder birch) body:(alder ~birch)", ["+title:(+alder +birch)", "-(alder birch)", "body:(alder ~birch)"]),
+        ("+body:birch +http://server:9090 -(title:alder)", ["+body:birch", "+http", "server", "9090", "-(title:alder)"]),
+        ('title:"+alder +birch" ~title:("alder birch")', ["title:'alder birch'", "~title:('alder birch')"]),
+        ("title:(+alder +body:(alder birch)) -title:((body:\"alder\") birch)", ["title:(+alder +body:(alder birch))", "-title:((body:'alder') birch)"]),
         # escapes and wildcards
-        (r"title:(lorem) \(-lorem ipsum) \+title\:lorem\+ipsum \-lorem \~ipsum", ["title:(lorem)", "-lorem", "ipsum", "title", "lorem", "ipsum", "lorem", "ipsum"]),
-        ("lorem* ipsum", ["lorem*", "ipsum"]), ("lorem ipsum*", ["lorem", "ipsum*"]),
+        (r"title:(alder) \(-alder birch) \+title\:alder\+birch \-alder \~birch", ["title:(alder)", "-alder", "birch", "title", "alder", "birch", "alder", "birch"]),
+        ("alder* birch", ["alder*", "birch"]), ("alder birch*", ["alder", "birch*"]),
     ],
 )
 def test_trees(text, expected):
@@ -62,22 +62,22 @@ def test_trees(text, expected):
 
 
 def test_without_positions_quotes_are_ordinary():
-    assert read('"lorem ipsum"', phrases=False) == ["lorem", "ipsum"]
+    assert read('"alder birch"', phrases=False) == ["alder", "birch"]
 
 
 def test_han_characters_end_operators():
-    assert read("我-(lorem)") == ["(lorem)"]
-    assert read("我-(lorem)", CHINESE) == ["我", "-(lorem)"]
+    assert read("我-(alder)") == ["(alder)"]
+    assert read("我-(alder)", CHINESE) == ["我", "-(alder)"]
 
 
 def test_a_trailing_blank_stops_expansion():
-    assert [p.auto_suffix for p in parse("lorem ipsum", ASCII, [])] == [True, True]
-    assert [p.auto_suffix for p in parse("lorem ipsum ", ASCII, [])] == [False, False]
+    assert [p.auto_suffix for p in parse("alder birch", ASCII, [])] == [True, True]
+    assert [p.auto_suffix for p in parse("alder birch ", ASCII, [])] == [False, False]
 
 
 def test_forms_of_a_term():
-    (p,) = parse("l'Orém", ASCII, [])
-    assert p.term == "lorem" and p.forms == ["l'orém", "l'orem", "l’orem", "lorem"]
+    (p,) = parse("d'Été", ASCII, [])
+    assert p.term == "dete" and p.forms == ["d'Été", "d'ete", "d’ete", "dete"]
 
 
 def test_json_round_trip():

@@ -10,12 +10,12 @@ from sondeur.sources.html import Rule, matches, page_zones
 
 def test_separating_elements():
     page = (
-        "text before<table><thead><tr><th>o<button>n</button>e</th><th>two</th></tr></thead><tbody>"
-        "<tr><th>three</td><td>four</td></tr><tr><th>five</td><td>si<button>x</button></td></tr></tbody></table>text after<h2><span>test</span> text</h2>"
+        "lead<ul><li>u<label>v</label>w</li><li>both</li></ul><table><tr><th>north<th>south</tr><tr><td>ea<kbd>s</kbd>t</td><td>west</th></tr></table>"
+        "between<h4><em>inner</em> head</h4>after<i>wards</i>"
     )
     zones = page_zones(page)
-    assert [(f, t) for f, t, _ in zones] == [("body", t) for t in ("text before", "o", "n", "e", "two", "three", "four", "five", "si", "x", "text after")] + [("heading", "test text")]
-    assert [s for _, _, s in zones] == [3] + [0] * 10 + [3]
+    assert [(f, t) for f, t, _ in zones] == [("body", t) for t in ("lead", "u", "v", "w", "both", "north", "south", "ea", "s", "t", "west", "between")] + [("heading", "inner head"), ("body", "afterwards")]
+    assert [s for _, _, s in zones] == [3] + [0] * 11 + [3, 3]
 
 
 def test_default_rules():
