@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 import random
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -190,7 +191,7 @@ def test_counts_equal_one_by_one(spark, messy, file):
 
 
 def test_the_cache_is_read_and_only_misses_are_added(spark, messy):
-    cache = f"{shared_dir(spark)}/cache-test"
+    cache = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
     t = tokencount.Tokenizer()
     some = messy.where("doc_id < 120")
     tokencount.token_counts(some, cache, t).count()
