@@ -6,9 +6,8 @@ weight; its points fall on M registers and each register keeps the shingle of it
 followed only until it passes the latest register, so long documents cost about one point a shingle.  Two registers
 agree with the probability Jaccard similarity J_P of the weighted sets.
 
-Equal word sequences fall together first, by digest.  Their representatives are banded; in each bucket every member
-is held against the bucket's head, those that don't match against the head of what is left, and those that are left
-then all against all.  A pair whose estimate lies within MARGIN of the threshold is verified by the exact J_P of its
+Equal word sequences fall together first, by digest.  Their representatives are banded; in each bucket members are
+held against heads, and then all pairs of members that are not yet connected are compared (see `connected`).  A pair whose estimate lies within MARGIN of the threshold is verified by the exact J_P of its
 texts, any other by the estimate over all registers.  Groups are the connected components of verified pairs.
 
 Defined results: a document without words (null, empty or marks only) or without doc_id is in no group and kept.  Of a
@@ -33,6 +32,8 @@ M = BANDS * ROWS
 #: The probability Jaccard similarity from which two documents count as near copies.
 THRESHOLD = 0.5
 MARGIN = 0.15
+#: Rounds in which a bucket's members are held against one head, before all pairs of its components are compared.
+HEADS = 2
 _BYTES = 4 << 20
 
 
@@ -194,28 +195,48 @@ def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def candidate_pairs(bands: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified pairs of the nodes in bands (node, key).
+def connected(bands: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes in bands (node, key) that are alike to others: root is the least node of the component.
 
-    Two rounds hold each bucket's members against its head; what matches no head is then compared all with all.
+    HEADS rounds each hold the members of a bucket that aren't yet connected with its head of the round against it.
+    Then every pair of a bucket that is in two components is compared, whatever its members matched before: all members
+    outside the bucket's largest component with all members.  No pair is compared twice.
     """
-    spark = bands.sparkSession
-    found = None
-    rest = bands
     per = Window.partitionBy("key")
-    for _ in range(2):
-        rest = stored(rest.withColumn("head", F.min("node").over(per)).withColumn("n", F.count("*").over(per)).where("n > 1 AND node != head").select("key", "head", "node"), "buckets")
-        if rest.isEmpty():
-            break
-        pairs = stored(alike(rest.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
-        found = pairs if found is None else found.unionByName(pairs)
-        rest = rest.join(pairs.select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_anti").select("node", "key")
-    else:
-        rest = stored(rest, "unmatched")
-        other = rest.select("key", F.col("node").alias("b"))
-        pairs = stored(alike(rest.withColumnRenamed("node", "a").join(other, "key").where("a < b").select("a", "b").distinct()), "pairs")
-        found = found.unionByName(pairs)
-    return found if found is not None else spark.createDataFrame([], "a bigint, b bigint")
+    left, roots, tested = bands, None, None
+    for k in range(HEADS + 1):
+        own = left.withColumn("root", F.col("node")) if roots is None else left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = own.withColumn("low", F.min("root").over(per)).withColumn("high", F.max("root").over(per)).where("low != high")
+        if k < HEADS:
+            head = F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", F.lit(k)), "node")).over(per)
+            own = stored(own.withColumn("head", head).select("key", "node", "root", "head"), "buckets")
+            pairs = own.where("root != head.root").select(F.col("node").alias("u"), F.col("head.node").alias("v"))
+        else:
+            own = own.withColumn("n", F.count("*").over(Window.partitionBy("key", "root")))
+            own = stored(own.withColumn("main", F.max(F.struct("n", "root")).over(per)["root"]).select("key", "node", "root", "main"), "buckets")
+            minor = own.where("root != main").select("key", F.col("node").alias("u"), F.col("root").alias("of"))
+            pairs = minor.join(own, "key").where("of != root").select("u", F.col("node").alias("v"))
+        left = own.select("node", "key")
+        pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "open")
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = _merged(roots, stored(alike(pairs), "pairs"))
+    return roots if roots is not None else bands.sparkSession.createDataFrame([], "node bigint, root bigint")
+
+
+def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, root) of the components that roots and edges (a, b) make together; only the roots are linked anew."""
+    if roots is None:
+        return stored(components(edges), "roots")
+    of = roots.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    to = roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    ends = edges.join(of, "a", "left").join(to, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    new = stored(components(ends).select(F.col("node").alias("root"), F.col("root").alias("top")), "merged")
+    known = roots.join(new, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = new.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return stored(known.unionByName(fresh), "roots")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         open_ = est.where(F.col("alike") < THRESHOLD + MARGIN).select("a", "b")
         return sure if open_.isEmpty() else sure.unionByName(_exact(open_, docs, nodes))
 
-    roots = components(candidate_pairs(bands, alike))
+    roots = connected(bands, alike)
     by_node = nodes.select("node", "id", "kept").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = by_node.groupBy("root").agg(F.min("id").alias("group_id"), F.sum("kept").alias("size"), F.min_by("node", F.struct("id", "node")).alias("first"))
     of = by_node.select("node", "root").join(groups, "root")

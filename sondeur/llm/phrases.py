@@ -4,8 +4,8 @@ A text is read as words of letters and digits in lower case and parsed as by LZ7
 words that is not yet in the text's dictionary.  The phrase set is hashed and kept as BINS one-permutation minima.
 Two documents are alike if the share of equal minima, an estimate of their phrase sets' Jaccard similarity, is at
 least THRESHOLD.  Candidates share one of BANDS keys of ROWS minima (recall 0.97 at the threshold, more above); in each
-bucket every member is held against the bucket's head, and what matches no head is compared all with all.  Groups are
-the connected components of alike pairs.
+bucket members are held against heads, and then all pairs that are not yet connected are compared.  Groups are the
+connected components of alike pairs.
 
 Defined results: every row gives one row.  A text without words (null, empty or marks only) has no phrases, a null
 fingerprint and a null group.  A null doc_id is a row like any other; it names a group only if the group has no other.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MARKS, Words, chunks, mix64, stored, text_buffers
-from .neardup import candidate_pairs, components
+from .neardup import connected
 from .sketch import agreement, band_keys, lists, low_bytes, min_hashes
 
 BANDS, ROWS = 32, 8
@@ -107,7 +107,7 @@ def phrase_groups(docs: DataFrame) -> DataFrame:
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes"
     )
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    roots = components(candidate_pairs(bands, lambda pairs: alike(pairs, nodes)))
+    roots = connected(bands, lambda pairs: alike(pairs, nodes))
     of = nodes.select("node", "id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = of.groupBy("root").agg(F.min("id").alias("group_id"), F.sum("n").alias("size"))
     by_node = of.select("node", "root").join(groups, "root").drop("root")

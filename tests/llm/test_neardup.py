@@ -97,3 +97,35 @@ def test_large_groups_of_copies(spark):
     for r in neardup.near_duplicates(table(spark, rows, clash=False)).collect():
         got[r["group_id"]] += 1
     assert max(got.values()) >= 1470
+
+
+def test_members_matched_to_a_head_still_meet_the_others(spark):
+    """Every alike pair of one bucket is connected in a group of copies at 0.4 to 0.9 of their original."""
+    rng = random.Random(9)
+    base = prose(rng, 150)
+    rows = [(0, base, "en", "s")] + [(i, _edited(rng, base, rng.randint(3, 45)), "en", "s") for i in range(1, 1000)]
+    docs = table(spark, rows, clash=False)
+    got = {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(docs).collect()}
+    bands = {r["doc_id"]: set(r["bands"]) for r in neardup.signatures(docs).collect()}
+    sets = [_sorted_shingles(t) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            if find(i) != find(j) and bands[i] & bands[j] and neardup.exact_similarity(*sets[i], *sets[j]) >= neardup.THRESHOLD:
+                parent[find(j)] = find(i)
+    near = [i for i in range(1, len(rows)) if find(i) == find(0)]
+    assert 300 < len(near) < 999
+    assert [i for i in near if got[i] != got[0]] == []
+
+
+def _sorted_shingles(text):
+    data, offsets = text_buffers(pa.array([text]))
+    _, key, weight, _ = neardup.weighted_shingles(data, offsets)
+    return key, weight
