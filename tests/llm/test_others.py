@@ -13,7 +13,7 @@ import pytest
 
 from sondeur.llm import chat, licences, mixing, packing, tokencount, warc
 from sondeur.llm.common import shared_dir, text_buffers
-from sondeur.llm.sketch import min_hashes
+from sondeur.llm.sketch import band_keys, min_hashes
 
 from .conftest import prose, table, word
 
@@ -147,6 +147,33 @@ def test_neighbours_against_brute_force(spark):
     assert want > 100 and hit / want >= 0.9
 
 
+def test_nearest_neighbours_in_large_buckets():
+    rng = np.random.default_rng(5)
+    n, words = 3000, 150
+    ids = np.where(rng.random((n, words)) < rng.uniform(0.02, 0.1, (n, 1)), rng.integers(0, 2**62, (n, words)), rng.integers(0, 2**62, words)).astype(np.uint64)
+    runs = ids[:, :-2] * np.uint64(3) + ids[:, 1:-1] * np.uint64(5) + ids[:, 2:] * np.uint64(7)
+    full = min_hashes(n, np.repeat(np.arange(n), words - 2), runs.ravel(), packing.BINS)
+    keys, sig = band_keys(full, packing.BANDS, packing.ROWS).ravel(), (full & np.uint64(255)).astype(np.uint8)
+    node = np.repeat(np.arange(n), packing.BANDS)
+    rows = sorted((k, np.roll(sig[i], -(k % packing.BINS)).tobytes(), i) for k, i in zip(keys.tolist(), node.tolist(), strict=True))
+    table_ = pa.table({"key": [r[0] for r in rows], "sig": pa.array([r[1] for r in rows], pa.binary()), "node": [r[2] for r in rows]})
+    assert max(Counter(r[0] for r in rows).values()) > 1000
+    found = defaultdict(set)
+    for batch in packing._near(table_.to_batches(max_chunksize=10_000)):
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[x].add(y)
+            found[y].add(x)
+    hit = want = 0
+    for u in range(0, n, 10):
+        like = ((sig == sig[u]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        like[u] = -1
+        near = np.sort(like[like >= packing.RELATED])[::-1][: packing.NEAREST]
+        want += len(near)
+        hit += min(len(near), sum(like[v] >= near[-1] - 1e-9 for v in found[u])) if len(near) else 0
+    print("recall", hit / want, "of", want)
+    assert want > 1000 and hit / want >= 0.9
+
+
 def test_related_documents_are_packed_together(spark):
     rng = random.Random(4)
     rows, groups = [], {}
