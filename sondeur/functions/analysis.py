@@ -134,6 +134,23 @@ class Analyzer:
         return not (self.chinese and len(word) == 1 and han.is_han(word))
 
 
+#: Analyzers by the name that a configuration gives: ascii, ascii_stemmer and chinese are Analyzer's own, others are registered.
+REGISTERED: dict[str, type[Analyzer]] = {}
+
+
+def register(name: str, kind: type[Analyzer]) -> None:
+    """Let configurations name an analyzer: a subclass of Analyzer that overrides `words`, `term`, `inflections` or whatever else differs."""
+    REGISTERED[name] = kind
+
+
+def analyzer_of(config: IndexConfig) -> Analyzer:
+    if config.analyzer in ("ascii", "ascii_stemmer", "chinese"):
+        return Analyzer(config)
+    if config.analyzer not in REGISTERED:
+        raise ValueError(f"no analyzer {config.analyzer} is registered")
+    return REGISTERED[config.analyzer](config)
+
+
 @cache
 def _blank_or_separator() -> re.Pattern[str]:
     return re.compile(f"[{_BLANKS}{_cls(SEPARATORS)}]")

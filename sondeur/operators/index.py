@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field
 from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FieldConfig, IndexConfig
-from ..functions.analysis import GAP, Analyzer
+from ..functions.analysis import GAP, Analyzer, analyzer_of
+from ..storage import exists, spread
 
 ZONE = "struct<field:string,text:string,separation:int>"
 SEPARATION = 10
@@ -41,7 +42,7 @@ def zones_of(columns: dict[str, Column], separation: int = SEPARATION) -> Column
 
 def _with_words(collection: DataFrame, config: IndexConfig) -> DataFrame:
     """collection with __words, __fields and __gaps of its searched zones, one entry a zone."""
-    analyzer, scored = Analyzer(config), config.scored
+    analyzer, scored = analyzer_of(config), config.scored
     field_id = F.create_map(*[x for i, f in enumerate(scored) for x in (F.lit(f.name), F.lit(i))]) if scored else None
     kept = F.filter("zones", lambda z: z["field"].isin(*[f.name for f in scored]) & z["text"].isNotNull())
     zones = collection.withColumn("__kept", F.coalesce(kept, F.array().cast(f"array<{ZONE}>")))
@@ -133,7 +134,7 @@ _INPUT = ("__words", "__fields", "__gaps")
 
 def tokens(collection: DataFrame, config: IndexConfig) -> DataFrame:
     """(doc_id, pos, field_id, term) of every token."""
-    analyzer = Analyzer(config)
+    analyzer = analyzer_of(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in _batched(batches, analyzer):
@@ -143,12 +144,13 @@ def tokens(collection: DataFrame, config: IndexConfig) -> DataFrame:
     return _with_words(collection, config).select("doc_id", *_INPUT).mapInArrow(run, f"doc_id {dict(collection.dtypes)['doc_id']}, pos int, field_id int, term string")
 
 
-def build_postings(collection: DataFrame, config: IndexConfig) -> DataFrame:
-    """(term, doc_id, tf_<i>, pos_<i>, len_<i> ...), one row for each term of each document; i is a field's id.
+def _built(collection: DataFrame, config: IndexConfig) -> DataFrame:
+    """(term, doc_id, tf_<i>, pos_<i>, len_<i> ...), i a field's id: a row for each term of each document, and one without a term
+    for each document, so that one pass makes postings and lengths.
 
     A document's tokens are grouped where they are made, so nothing is shuffled before postings are laid out.
     """
-    analyzer, n, positions = Analyzer(config), len(config.scored), config.with_positions
+    analyzer, n, positions = analyzer_of(config), len(config.scored), config.with_positions
     names = ["term", "doc_id", *(f"{k}_{i}" for i in range(n) for k in (("tf", "pos") if positions else ("tf",))), *(f"len_{i}" for i in range(n))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,32 +160,30 @@ def build_postings(collection: DataFrame, config: IndexConfig) -> DataFrame:
             first = np.flatnonzero(np.diff(key[order], prepend=-1))
             group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
             doc, code = t.doc[order][first], t.code[order][first]
-            cols = [pa.array(t.terms, pa.string()).take(pa.array(code)), part.column(0).take(pa.array(doc))]
+            every = np.concatenate([doc, np.arange(t.n)])
+            cols = [pa.array(t.terms, pa.string()).take(pa.array(np.concatenate([code, np.full(t.n, -1)]), mask=np.arange(len(every)) >= len(code))), part.column(0).take(pa.array(every))]
             for i in range(n):
                 mine = t.field[order] == i
-                tf = np.bincount(group[mine], minlength=len(first))
+                tf = np.concatenate([np.bincount(group[mine], minlength=len(first)), np.zeros(t.n, np.int64)])
                 cols.append(pa.array(tf, pa.int32()))
                 if positions:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32()), pa.array(t.pos[order][mine], pa.int32())))
-            cols += [pa.array(length[doc]) for length in t.lengths(n)]
+            cols += [pa.array(length[every]) for length in t.lengths(n)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = {"term": "string", "doc_id": dict(collection.dtypes)["doc_id"]}
     schema = ", ".join(f"{c} {kinds.get(c) or ('array<int>' if c.startswith('pos') else 'int')}" for c in names)
-    return _with_words(collection, config).select("doc_id", *_INPUT).mapInArrow(run, schema)
+    return _with_words(spread(collection), config).select("doc_id", *_INPUT).mapInArrow(run, schema)
 
 
-def with_lengths(rows: DataFrame, config: IndexConfig) -> DataFrame:
-    """rows (any columns and _INPUT) with len_<i> for their words."""
-    analyzer, n = Analyzer(config), len(config.scored)
-    own = [c for c in rows.columns if c not in _INPUT]
+def _parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of the rows of `_built`."""
+    return rows.where("term IS NOT NULL"), rows.where("term IS NULL").select("doc_id", *[c for c in rows.columns if c.startswith("len_")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in _batched(batches, analyzer):
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *(pa.array(x) for x in t.lengths(n))], [*own, *(f"len_{i}" for i in range(n))])
 
-    kinds = dict(rows.dtypes)
-    return rows.select(*[F.col(f"`{c}`") for c in own], *_INPUT).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in own), *(f"len_{i} int" for i in range(n))]))
+def build_postings(collection: DataFrame, config: IndexConfig) -> DataFrame:
+    """(term, doc_id, tf_<i>, pos_<i>, len_<i> ...), one row for each term of each document."""
+    return _parted(_built(collection, config))[0]
 
 
 def facet(collection: DataFrame, f: FieldConfig) -> Column:
@@ -204,25 +204,40 @@ def number(text: Column, f: FieldConfig) -> Column:
     return text.try_cast("bigint")
 
 
+#: The layout of stored indexes; a reader takes no other.
+VERSION = 2
+#: Postings lists, and corrections, that an index remembers if it is asked to.
+REMEMBERED = 8
+
+
 @dataclass
 class Index:
-    """postings, docs (doc_id, len_<i>, facets, stored zones) and what queries need of them."""
+    """postings, docs (doc_id, facets, stored zones), lengths (doc_id, len_<i>) and what queries need of them.
+
+    built: postings and lengths in one, where they are still to be worked out.  remember: keep the postings of the last
+    REMEMBERED terms in memory, for a searcher that stays.
+    """
 
     config: IndexConfig
     postings: DataFrame
     docs: DataFrame
     dictionary: DataFrame
+    lengths: DataFrame
+    built: DataFrame | None = None
+    remember: bool = False
     analyzer: Analyzer = field(init=False)
     known: dict[str, int | None] = field(default_factory=dict, repr=False)
+    corrected: OrderedDict[str, str | None] = field(default_factory=OrderedDict, repr=False)
+    held: OrderedDict[str, DataFrame] = field(default_factory=OrderedDict, repr=False)
 
     def __post_init__(self) -> None:
-        self.analyzer = Analyzer(self.config)
+        self.analyzer = analyzer_of(self.config)
 
     @cached_property
     def stats(self) -> tuple[int, list[float]]:
         """(live documents, mean length of each field over all live documents)."""
         n = range(len(self.config.scored))
-        row = self.docs.agg(F.count("*").alias("n"), *[F.sum(f"len_{i}").alias(f"l{i}") for i in n]).first()
+        row = self.lengths.agg(F.count("*").alias("n"), *[F.sum(f"len_{i}").alias(f"l{i}") for i in n]).first()
         return row["n"], [(row[f"l{i}"] or 0) / row["n"] if row["n"] else 0.0 for i in n]
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:
@@ -233,19 +248,44 @@ class Index:
             self.known |= {t: found.get(t) for t in new}
         return {t: n for t in terms if (n := self.known[t]) is not None}
 
+    def correction(self, word: str, ask: Callable[[], str | None]) -> str | None:
+        """The correction of a word, asked for unless it is among the last REMEMBERED."""
+        if word not in self.corrected:
+            self.corrected[word] = ask()
+            if len(self.corrected) > REMEMBERED:
+                self.corrected.popitem(last=False)
+        self.corrected.move_to_end(word)
+        return self.corrected[word]
+
     def write(self, path: str) -> Index:
         """Store the index; postings lie by hash of their term, sorted, so that a query reads few row groups."""
-        by = F.pmod(F.xxhash64("term"), F.lit(self.config.buckets)).cast("int")
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(self.config.spread))
-        laid = self.postings.withColumn("bucket", by).repartition("bucket", salt).sortWithinPartitions("bucket", "term", "doc_id")
-        laid.write.partitionBy("bucket").parquet(f"{path}/postings")
+        self.write_postings(f"{path}/postings")
         self.docs.write.parquet(f"{path}/docs")
-        stored = read_index(self.docs.sparkSession, path, self.config)
-        frequencies(self.postings.sparkSession.read.parquet(f"{path}/postings")).sortWithinPartitions("term").write.parquet(f"{path}/dictionary")
-        return replace(stored, dictionary=self.docs.sparkSession.read.parquet(f"{path}/dictionary"))
+        postings, _ = _laid(self.docs.sparkSession.read.parquet(f"{path}/postings"))
+        frequencies(postings).sortWithinPartitions("term").write.parquet(f"{path}/dictionary")
+        # what makes it an index is written last
+        self.docs.sparkSession.createDataFrame([(manifest(self.config),)], "value string").coalesce(1).write.text(f"{path}/manifest")
+        return read_index(self.docs.sparkSession, path)
+
+    def write_postings(self, path: str, mode: str = "errorifexists") -> None:
+        """Postings and, as bucket -1, lengths."""
+        rows = self.built if self.built is not None else self.postings.unionByName(self.lengths, allowMissingColumns=True)
+        rows = rows.drop("bucket", "segment")
+        own = F.col("term").isNull()
+        by = F.when(own, F.lit(-1)).otherwise(F.pmod(F.xxhash64("term"), F.lit(self.config.buckets)).cast("int"))
+        salt = F.pmod(F.xxhash64("doc_id"), F.when(own, self.config.spread * self.config.buckets).otherwise(self.config.spread))
+        laid = rows.withColumn("bucket", by).repartition("bucket", salt).sortWithinPartitions("bucket", "term", "doc_id")
+        laid.write.mode(mode).partitionBy("bucket").parquet(path)
+        if not exists(rows.sparkSession, f"{path}/bucket=-1"):  # no documents; the table still has its columns
+            laid.limit(0).drop("bucket").write.mode(mode).parquet(f"{path}/bucket=-1")
 
     def scan(self, terms: list[str]) -> DataFrame:
         """Postings of a few terms: only their buckets are read."""
+        if self.remember and 0 < len(terms) <= REMEMBERED:
+            return reduce(DataFrame.unionByName, [self._held(t) for t in dict.fromkeys(terms)])
+        return self._scan(terms)
+
+    def _scan(self, terms: list[str]) -> DataFrame:
         rows = self.postings
         if "bucket" in rows.columns and terms:
             # constants once the plan is optimised, so whole directories are left out
@@ -253,33 +293,55 @@ class Index:
             rows = rows.where(reduce(Column.__or__, own))
         return rows.where(F.col("term").isin(*terms) if terms else F.lit(False))
 
+    def _held(self, term: str) -> DataFrame:
+        if term not in self.held:
+            self.held[term] = self._scan([term]).persist()
+            if len(self.held) > REMEMBERED:
+                self.held.popitem(last=False)[1].unpersist()
+        self.held.move_to_end(term)
+        return self.held[term]
+
 
 def frequencies(postings: DataFrame) -> DataFrame:
     """(term, df)."""
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _laid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a stored table of both."""
+    return rows.where("bucket >= 0"), rows.where("bucket = -1").select("doc_id", *[c for c in rows.columns if c.startswith("len_") or c == "segment"])
+
+
 def build_index(collection: DataFrame, config: IndexConfig) -> Index:
     """A lazy index of a collection; `write` stores it."""
     facets = [f for f in config.fields if {"enum", "i64"} & set(f.storage)]
     kept = [f.name for f in config.fields if "text" in f.storage]
     texts = F.transform(F.filter("zones", lambda z: z["field"].isin(*kept)), lambda z: F.struct(z["field"].alias("field"), z["text"].alias("text"))).alias("texts")
-    rows = _with_words(collection, config).select("doc_id", *[facet(collection, f).alias(f.name) for f in facets], texts, *_INPUT)
-    docs = with_lengths(rows, config)
-    postings = build_postings(collection, config)
-    return Index(config, postings, docs, frequencies(postings))
-
-
-def read_index(spark: SparkSession, path: str, config: IndexConfig) -> Index:
-    postings = spark.read.parquet(f"{path}/postings")
-    try:
-        dictionary = spark.read.parquet(f"{path}/dictionary")
-    except AnalysisException:  # an index that is still being written has none yet
-        dictionary = frequencies(postings)
-    return Index(config, postings, spark.read.parquet(f"{path}/docs"), dictionary)
-
-
-def manifest(index: Index) -> str:
-    """What a stored index was made with, as JSON."""
-    c = index.config
-    return json.dumps({"version": 1, "id": uuid.uuid4().hex, "analyzer": c.analyzer, "positions": c.with_positions, "fields": [f.__dict__ | {"storage": list(f.storage)} for f in c.fields]})
+    docs = collection.select("doc_id", *[facet(collection, f).alias(f.name) for f in facets], texts)
+    built = _built(collection, config)
+    postings, lengths = _parted(built)
+    return Index(config, postings, docs, frequencies(postings), lengths, built)
+
+
+def manifest(config: IndexConfig) -> str:
+    """What an index is made with, as JSON: its version, an id of its own and its configuration."""
+    return json.dumps({"version": VERSION, "id": uuid.uuid4().hex, "config": asdict(config)}, sort_keys=True)
+
+
+def configuration(text: str) -> IndexConfig:
+    """The configuration in a manifest."""
+    found = json.loads(text)
+    if found["version"] != VERSION:
+        raise ValueError(f"an index of version {found['version']}; this reads {VERSION}")
+    c = found["config"]
+    fields = tuple(FieldConfig(**(f | {"storage": tuple(f["storage"])})) for f in c["fields"])
+    return IndexConfig(**(c | {"fields": fields, "stop_words": None if c["stop_words"] is None else tuple(c["stop_words"])}))
+
+
+def read_index(spark: SparkSession, path: str, remember: bool = False) -> Index:
+    """A stored index, by its own manifest."""
+    if not exists(spark, f"{path}/manifest"):
+        raise FileNotFoundError(f"{path} holds no index, or one that is still being written")
+    config = configuration(spark.read.text(f"{path}/manifest", wholetext=True).first()[0])
+    postings, lengths = _laid(spark.read.parquet(f"{path}/postings"))
+    return Index(config, postings, spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/dictionary"), lengths, remember=remember)

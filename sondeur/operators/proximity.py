@@ -54,10 +54,15 @@ def best_window(lists: Column, total: int, least: int) -> Column:
 
 def factor(lists: Column, total: int, least: int) -> Column:
     """What a document's score is multiplied by, 1 without a window that counts."""
-    best = best_window(lists, total, least)
-    # windows are compared before they are multiplied, so that none overflows
-    wide = F.when(best["window"] <= WIDEST, best["window"] * (1 + best["missed"] * MISSED))
-    return F.when(wide <= WIDEST, 1 + (BASE + EACH * total) / (SATURATION + wide)).otherwise(F.lit(1.0))
+
+
+    def scored(best: Column) -> Column:
+        # windows are compared before they are multiplied, so that none overflows
+        wide = F.when(best["window"] <= WIDEST, best["window"] * (1 + best["missed"] * MISSED))
+        return F.when(wide <= WIDEST, 1 + (BASE + EACH * total) / (SATURATION + wide)).otherwise(F.lit(1.0))
+
+    # bound to a name of its own, so that the fold runs once and not once for each use
+    return F.element_at(F.transform(F.array(best_window(lists, total, least)), scored), 1)
 
 
 def phrase_factor(terms: int) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ def ticked(values: list[str | None], chosen: list[str | None]) -> list[str | Non
     return None if not chosen or set(chosen) >= set(values) else chosen
 
 
+def days(first: str | None, last: str | None) -> tuple[int | None, int | None]:
+    """The range of epoch seconds from the start of one day to the end of another, both as yyyy-mm-dd and in UTC; either may be open."""
+    start = lambda day: int(datetime.fromisoformat(day).replace(tzinfo=UTC).timestamp())
+    return start(first) if first else None, start(last) + 86_399 if last else None
+
+
 @dataclass
 class Query:
     """A compiled query.  matches: (doc_id, score, facets) of all documents, before any limit."""

@@ -56,7 +56,7 @@ class Compiler:
         self.proximity = self.options.proximity and self.config.with_positions
 
     def empty(self) -> DataFrame:
-        return self.index.docs.where(F.lit(False)).select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("score", "double"), ("fields", "array<int>"), ("pos", "array<struct<p:int,f:int>>"))])
+        return self.index.lengths.where(F.lit(False)).select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("score", "double"), ("fields", "array<int>"), ("pos", "array<struct<p:int,f:int>>"))])
 
     def query(self, parts: list[Part]) -> DataFrame:
         """(doc_id, score) of a query's documents."""
@@ -94,8 +94,9 @@ class Compiler:
 
     def inverted(self, matched: DataFrame, weight: float) -> DataFrame:
         """All other documents, alike in score: as if a term stood once in each."""
-        others = self.index.docs.select("doc_id").join(matched.select("doc_id").distinct(), "doc_id", "left_anti")
-        count = others.agg(F.count("*").alias("df"))
+        ids = matched.select("doc_id").distinct()  # one exchange, which the count uses again
+        others = self.index.lengths.select("doc_id").join(ids, "doc_id", "left_anti")
+        count = ids.agg((F.lit(self.n) - F.count("*")).alias("df"))
         score = F.log(1 + (F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * weight
         return others.crossJoin(count).select("doc_id", score.alias("score"), F.array().cast("array<int>").alias("fields"), F.array().cast("array<struct<p:int,f:int>>").alias("pos"))
 

@@ -36,7 +36,6 @@ def resolve(parts: list[Part], index: Index) -> list[Part]:
     terms = [p for part in parts for p in part.walk() if p.kind == TERM and p.original is not None and not p.suffixed]
     ignored = index.analyzer.stop_words if index.config.ignore_stop_words else frozenset()
     known = index.frequencies([p.original for p in terms if p.original not in ignored])
-    fixed: dict[str, str | None] = {}
     for p in terms:
         if p.original in ignored:
             p.term = None
@@ -45,10 +44,8 @@ def resolve(parts: list[Part], index: Index) -> list[Part]:
         else:
             p.term = None
             if not p.wildcard and index.analyzer.corrects(p.original):
-                if p.original not in fixed:
-                    best = corrections(index.dictionary, p.original).first()
-                    fixed[p.original] = best["term"] if best else None
-                if found := fixed[p.original]:
+                ask = lambda word=p.original: (best := corrections(index.dictionary, word).first()) and best["term"]
+                if found := index.correction(p.original, ask):
                     p.term, p.corrected = found, True
                     p.forms = [*p.forms, found]
     for part in parts:

@@ -5,6 +5,7 @@ All run over whole tables.  Indexes are stored once for a session and folder of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 from .config import FieldConfig, IndexConfig, SearchOptions
 from .functions.analysis import GAP, STOP_WORDS, Analyzer, prepared_sql, sql_text, terms_sql
 from .operators import incremental, results
-from .operators.index import Index, build_index, build_postings, frequencies, number, one_zone, tokens, zones_of
-from .operators.search import Query, facet_values, search
+from .operators.index import Index, build_index, number, one_zone, read_index, tokens, zones_of
+from .operators.search import Query, days, facet_filters, facet_values, search
 from .plans.resolve import corrections, prefixed
-from .sources.files import csv_zones, json_column
+from .sources.files import Loaders, csv_zones, json_column, load_folder
 from .sources.html import html_zones
-from .storage import fresh
+from .storage import fresh, put, remove
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -212,23 +213,44 @@ def tok_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_tokens(spark, sf_dir, IndexConfig(fields=DOCUMENTS.fields, analyzer="chinese")).groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
 
 
+_LETTERS, _GLYPHS = "abcdefghijklm", "萬東絲們我他書學車門馬見長"
+
+
+def _han_letters_sql() -> str:
+    from .functions import han
+
+    pairs = han.table()
+    found = _han_sql().replace("prepared", "").split("WITH w AS (SELECT doc_id, unnest(", 1)[1].split(") AS term FROM documents)", 1)[0].replace("text", "han", 1)
+    own = f"translate(term, {sql_text(''.join(pairs))}, {sql_text(''.join(pairs.values()))})"
+    made = f"SELECT doc_id, translate(lower(text), {sql_text(_LETTERS)}, {sql_text(_GLYPHS)}) AS han FROM documents"
+    return f"WITH d AS ({made}), w AS (SELECT doc_id, unnest({found}) AS raw FROM d), t AS (SELECT doc_id, {own.replace('term', 'raw')} AS term FROM w WHERE raw != chr(1)) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM t WHERE strlen(term) <= 80 GROUP BY ALL"
+
+
+@query(_han_letters_sql())
+def tok_chinese_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with half of their letters as Han characters, traditional ones among them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", one_zone("body", F.translate(F.lower("text"), _LETTERS, _GLYPHS)).alias("zones"))
+    found = tokens(docs, IndexConfig(fields=(FieldConfig("body", 1.0),), analyzer="chinese"))
+    return found.groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+
+
 # The index's tables
 
 
 @query(f"WITH {_TOKENS} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok GROUP BY ALL")
 def idx_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = build_postings(documents(spark, sf_dir), DOCUMENTS)
+    rows = document_index(spark, sf_dir).postings
     return rows.select("term", "doc_id", F.col("tf_0").cast("bigint").alias("tf"), F.array_join(F.col("pos_0").cast("array<string>"), " ").alias("positions"))
 
 
 @query(f"WITH {_TOKENS} SELECT term, df FROM dict")
 def idx_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(build_postings(documents(spark, sf_dir), DOCUMENTS))
+    return document_index(spark, sf_dir).dictionary.select("term", "df")
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, len FROM len")
 def idx_doclen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_index(spark, sf_dir).docs.select("doc_id", F.col("len_0").cast("bigint").alias("len"))
+    return document_index(spark, sf_dir).lengths.select("doc_id", F.col("len_0").cast("bigint").alias("len"))
 
 
 @query(f"WITH {_part_tokens()} SELECT f, round(mean, 6) AS mean, n FROM st")
@@ -237,6 +259,15 @@ def idx_avglen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, round(m, 6), n) for i, m in enumerate(means)], "f int, mean double, n bigint")
 
 
+@query("SELECT * FROM (VALUES ('body', 1.0::DOUBLE, 'text'), ('lang', 0.0, 'enum'), ('source', 0.0, 'enum'), ('quality', 0.0, 'enum'), ('n_chars', 0.0, 'i64')) t(field, weight, storage)")
+def idx_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that a stored index says it was made with, read from nothing but its folder."""
+    folder = fresh(spark, "described")
+    build_index(documents(spark, sf_dir), DOCUMENTS).write(folder)
+    fields = read_index(spark, folder).config.fields
+    return spark.createDataFrame([(f.name, f.weight, f.storage[0]) for f in fields], "field string, weight double, storage string")
+
+
 @query(f"WITH {_TOKENS} SELECT term, df, round({_idf('n', 'df')}, 6) AS idf FROM dict, st")
 def idx_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = document_index(spark, sf_dir)
@@ -275,11 +306,41 @@ def _in_field(term: str, f: int) -> str:
 _register("field_restrict", "p_type:small ring ", _scored(_node((_in_field("small", 1), ""), (_part_term("ring"), "")), _PARTS_SQL), part_index)
 _register("field_inverted", "~p_type:small ", _scored(_node((_others(_in_field("small", 1), "SELECT p_partkey AS doc_id FROM part", "(SELECT n FROM n)"), "")), _PARTS_SQL), part_index)
 _register("field_group", "+p_name:(small large) ", _scored(_node((f"SELECT * FROM ({_node((_part_term('small'), ''), (_part_term('large'), ''))}) WHERE doc_id IN (SELECT doc_id FROM post WHERE term IN ('small', 'large') AND f = 0)", "+")), _PARTS_SQL), part_index)
-_register("field_phrase", 'p_name:"small ring" economy ', None, part_index)
+
+
+def _part_phrase(first: str, second: str, f: int) -> str:
+    held = f"SELECT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = {sql_text(first)} AND b.term = {sql_text(second)} AND a.f = {f}"
+    return f"SELECT doc_id, sum(score) * {1 + 3.5 / 5!r} AS score FROM ({_part_term(first)} UNION ALL {_part_term(second)}) WHERE doc_id IN ({held}) GROUP BY doc_id"
+
+
+_register("field_phrase", 'p_name:"small ring" economy ', _scored(_node((_part_phrase("small", "ring", 0), ""), (_part_term("economy"), "")), _PARTS_SQL), part_index)
 
 _NEAR = SearchOptions(max_auto_suffix=0, max_suffix=0, proximity=True)
-_register("proximity", "of the and ", None, options=_NEAR)
-_register("proximity_group", "+(of to) +the ", None, options=_NEAR)
+
+
+def _near_sql(node: str, *children: tuple[str, ...]) -> str:
+    """node's scores with the factor of the best window of its children, each a child's words.
+
+    A window is a run of places at which later and later children stand: of all that begin a run, those of most children,
+    and of these the narrowest.
+    """
+    t = len(children)
+    least = max(2, -(-t // 2))
+    child = " ".join(f"WHEN {sql_text(w)} THEN {i}" for i, words in enumerate(children) for w in words)
+    words = ", ".join(sql_text(w) for ws in children for w in ws)
+    return (
+        f"SELECT s.doc_id, score * coalesce(factor, 1) AS score FROM ({node}) s LEFT JOIN (SELECT doc_id, CASE WHEN wide <= 200 AND wide * (1 + 4 * missed) <= 200 THEN 1 + {2.5 + 0.5 * t} / (4.0 + wide * (1 + 4 * missed)) ELSE 1 END AS factor FROM ("
+        f"SELECT doc_id, {t} - k AS missed, pos - start AS wide, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, pos - start) AS best FROM ("
+        f"SELECT doc_id, pos, row_number() OVER run AS k, min(pos) OVER (PARTITION BY doc_id, no) AS start FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM ("
+        f"SELECT doc_id, pos, c, CASE WHEN c > lag(c) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM (SELECT doc_id, pos, CASE term {child} END AS c FROM tok WHERE term IN ({words})))) "
+        f"WINDOW run AS (PARTITION BY doc_id, no ORDER BY pos)) WHERE k >= {least}) WHERE best = 1) f ON s.doc_id = f.doc_id"
+    )
+
+
+_register("proximity", "of the and ", _scored(_near_sql(_node(*((_term(w), "") for w in ("of", "the", "and"))), ("of",), ("the",), ("and",))), options=_NEAR)
+_of_to = _near_sql(_node((_term("of"), ""), (_term("to"), "")), ("of",), ("to",))
+_register("proximity_group", "+(of to) +the ", _scored(_near_sql(_node((_of_to, "+"), (_term("the"), "+")), ("of", "to"), ("the",))), options=_NEAR)
+_register("escaped", r"the \-and ", _scored(_node((_term("the"), ""), (_term("and"), ""))))
 
 
 # The dictionary
@@ -314,6 +375,27 @@ def _expanded_sql(prefix: str, n: int, weight: str) -> str:
 
 _register("wildcard", "ent* ", _expanded_sql("ent", 5, "1.0"), options=SearchOptions(max_auto_suffix=0, proximity=False))
 _register("auto_suffix", "ent", _expanded_sql("ent", 3, "3.0 / length(term) * 0.5 / (SELECT count(*) FROM longer)"), options=SearchOptions(proximity=False))
+_NONE = "SELECT doc_id, 0.0 AS score FROM documents WHERE false"
+_register("spell_skipped", "the entioon* ", _scored(_node((_term("the"), ""), (_NONE, ""))), options=SearchOptions(max_auto_suffix=0, proximity=False))
+
+
+def _used_sql() -> str:
+    """A term, and an unfinished word whose longer terms would include it: it isn't searched twice."""
+    one = "0.7 * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)))"
+    rows = f"SELECT doc_id, {one} * {_idf('n', 'df')} * w AS score FROM post JOIN terms USING (term) JOIN len USING (doc_id), st"
+    terms = "used AS (SELECT term FROM longer WHERE k = 1), terms AS (SELECT term, df, 3.0 / length(term) * 0.5 / (SELECT count(*) FROM longer) AS w FROM longer WHERE k > 1 UNION ALL SELECT term, df, 1.0 FROM dict WHERE term = 'ent')"
+    group = f"SELECT doc_id, sum(score) * (count(*) / (0.0 + (SELECT count(*) FROM longer))) ** 2 AS score FROM ({rows}) GROUP BY doc_id"
+    ordered = _prefix_sql("ent", 3).replace("SELECT term, df", "SELECT term, df, row_number() OVER (" + "ORDER BY " + _prefix_sql("ent", 3).split("ORDER BY ", 1)[1].split(" LIMIT")[0] + ") AS k")
+    return f"WITH {_TOKENS}, longer AS ({ordered}), {terms} SELECT doc_id, round(score, 6) AS score FROM ({_node((_term('X').replace("'X'", '(SELECT term FROM used)'), ''), (group, ''))})"
+
+
+@query(_used_sql())
+def auto_suffix_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = document_index(spark, sf_dir)
+    used = prefixed(index.dictionary, "ent", index.frequencies(["ent"]).get("ent"), index.analyzer.stop_words).first()["term"]
+    return _rounded(search(index, f"{used} ent", SearchOptions(proximity=False)).matches.select("doc_id", "score"))
+
+
 _WORDS = ("thhe", "entioon", "quedd", "lichhen", "zzzzzzzzz")
 
 
@@ -360,6 +442,34 @@ def facet_values_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facet_values(document_index(spark, sf_dir), "source")
 
 
+EVENTS = IndexConfig(fields=(FieldConfig("user", 1.0), FieldConfig("k", storage=("enum",)), FieldConfig("level", storage=("i64",), default=-1), FieldConfig("ts", storage=("i64",), parse="datetime")), buckets=4)
+
+
+def event_index(spark: SparkSession, sf_dir: str) -> Index:
+    """Events as documents: zones from their JSON, twice, the first of which is blank in some, and the time from a column."""
+
+    def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = json_column(table(spark, sf_dir, "events"), "props", {"k": "k"})
+        more = F.array(*[F.struct(F.lit(f).alias("field"), t.cast("string").alias("text"), F.lit(1).alias("separation")) for f, t in (("k", F.lit(" ")), ("level", F.when(F.col("user_id") % 3 > 0, F.col("user_id"))), ("level", F.lit(7)), ("user", F.col("event_type")))])
+        zones = F.filter(F.concat(F.slice(more, 1, 1), "zones", F.slice(more, 2, 9)), lambda z: z["text"].isNotNull())
+        return rows.select(F.col("event_id").alias("doc_id"), zones.alias("zones"), F.date_format("ts", "yyyy MMM dd HH:mm Z").alias("ts"))
+
+    return _index(spark, sf_dir, "events", collection, EVENTS)
+
+
+@query("SELECT event_id AS doc_id, json_extract_string(props, '$.k') AS k, CASE WHEN user_id % 3 > 0 THEN user_id ELSE 7 END AS level FROM events")
+def facet_from_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first value of an enum and of a number that come from zones; blank ones don't count."""
+    return event_index(spark, sf_dir).docs.select("doc_id", "k", "level")
+
+
+@query("SELECT event_id AS doc_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'")
+def facet_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from a date input to another, as seconds."""
+    docs = event_index(spark, sf_dir).docs
+    return docs.where(facet_filters(docs, SearchOptions(ranges={"ts": days("2024-01-05", "2024-01-12")}))).select("doc_id")
+
+
 def _sorted(order: str, first: int, upto: int, rank: bool = False) -> str:
     ranked = f"SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY {order}) AS rank FROM ({_THE}) JOIN documents USING (doc_id)"
     return f"WITH {_TOKENS} SELECT doc_id, score{', rank' if rank else ''} FROM ({ranked}) WHERE rank > {first} AND rank <= {upto}"
@@ -419,6 +529,59 @@ def src_csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.explode("zones").alias("z")).select("p_partkey", "z.field", "z.text")
 
 
+_ODD = "'x' || chr(8232) || chr(133) || chr(12) || 'y, \"q\"' || chr(10) || '#z'"
+
+
+@query(f"SELECT p_partkey::VARCHAR AS title, p_name || {_ODD} AS body FROM part WHERE p_partkey % 2 = 0")
+def src_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of CSV files with quoted line ends, marks and rare separators, as they were before they were written."""
+    folder = fresh(spark, "csv")
+    odd = F.lit('x\u2028\x85\x0cy, "q"\n#z')
+    rows = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit("-").alias("left out"), F.concat("p_name", odd).alias("body"), F.col("p_partkey").cast("string").alias("title"))
+    rows.write.option("header", "true").option("quoteAll", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(folder)
+    docs = load_folder(spark, folder, Loaders(csv_options={"header": "true", "comment": "#"}))
+    return docs.select(F.filter("zones", lambda z: z["field"] == "title")[0]["text"].alias("title"), F.filter("zones", lambda z: z["field"] == "body")[0]["text"].alias("body"))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, int]]:
+    """The nations, 25 at any scale, to write small files of."""
+    return [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
+
+
+@query(
+    "SELECT 'n/' || n_nationkey || '.txt' AS path, 0 AS doc_no, '_relative_fp=n/' || n_nationkey || '.txt;body=' || n_name AS zones FROM nation WHERE n_regionkey != 2 "
+    "UNION ALL SELECT 'all.json', n_nationkey, '_relative_fp=all.json#' || n_nationkey || ';title=' || n_name || ';body=' || n_regionkey FROM nation"
+)
+def src_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of text files, a JSON array and files that no loader reads, some excluded though they are included."""
+    folder, rows = fresh(spark, "folder"), _nations(spark, sf_dir)
+    for k, name, region in rows:
+        put(spark, f"{folder}/{'skipped' if region == 2 else 'n'}/{k}.txt", name)
+    put(spark, f"{folder}/all.json", json.dumps([{"body": r, "title": n} for _, n, r in rows]))
+    put(spark, f"{folder}/n/other.bin", "x")
+    put(spark, f"{folder}/deep/er/more.TXT", "not included")
+    docs = load_folder(spark, folder, include=["n/*", "*.json", "skipped/*"], exclude=["skipped/*"])
+    return docs.select("path", "doc_no", F.array_join(F.transform("zones", lambda z: F.concat(z["field"], F.lit("="), z["text"])), ";").alias("zones"))
+
+
+_WITH_LINKS = "nat AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)"
+
+
+@query(
+    f"WITH {_WITH_LINKS} SELECT 'r' || r_regionkey || '.json' AS path, 0 AS doc_no, r_name || coalesce((SELECT '|' || string_agg(n_name, '|' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey), '') || '|last' AS titles FROM region "
+    "UNION ALL SELECT 'sub/' || n_regionkey || '.json', i, n_name || '|last' FROM nat UNION ALL SELECT 'last.json', 0, 'last'"
+)
+def src_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that link others, which link a last one and that itself; each stays a document of its own too."""
+    folder, rows = fresh(spark, "linked"), _nations(spark, sf_dir)
+    for k, name in (tuple(r) for r in table(spark, sf_dir, "region").collect()):
+        put(spark, f"{folder}/r{k}.json", json.dumps({"title": name, "_add_files": f"./x/y/../.././sub/{k}.json"}))
+        put(spark, f"{folder}/sub/{k}.json", json.dumps([{"title": n, "_add_files": "../last.json"} for _, n, r in rows if r == k]))
+    put(spark, f"{folder}/last.json", json.dumps({"title": "last", "_add_files": "last.json"}))
+    docs = load_folder(spark, folder)
+    return docs.select("path", "doc_no", F.array_join(F.transform(F.filter("zones", lambda z: z["field"] == "title"), lambda z: z["text"]), "|").alias("titles"))
+
+
 @query("SELECT conv_id, count(*) AS zones, string_agg(text, ' | ' ORDER BY turn) AS joined FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def src_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several rows as the ordered zones of one document."""
@@ -443,7 +606,14 @@ def res_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", results.result_link(F.lit(None).cast("string"), path, "https://example.org/", F.lit("top")).alias("link"))
 
 
-@query()
+_WORDS_OF = r"regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '[\s_-]+', ' ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g')"
+
+
+@query(
+    f"WITH w AS (SELECT page_id, array_to_string(list_transform(string_split({_WORDS_OF}, '/'), lambda p: array_to_string(list_transform(string_split(p, ' '), lambda w: upper(w[1]) || w[2:]), ' ')), ' » ') AS whole FROM pages), "
+    r"e AS (SELECT page_id, whole, upper(regexp_extract(whole, '([^.]*)$', 1)) AS ext FROM w) "
+    r"SELECT page_id, CASE WHEN NOT contains(whole, '.') THEN '.' || upper(whole) ELSE regexp_replace(whole, '\.[^.]*$', '') || CASE ext WHEN 'HTML' THEN '' WHEN 'PDF' THEN ' (PDF)' ELSE '.' || ext END END AS title FROM e"
+)
 def res_breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", results.breadcrumb(F.regexp_replace("url", "^https?://[^/]*/", "")).alias("title"))
 
@@ -459,7 +629,7 @@ def inc_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search after a third of all documents were deleted."""
     folder = fresh(spark, "maintained")
     incremental.create(folder, documents(spark, sf_dir), DOCUMENTS)
-    incremental.delete(spark, folder, table(spark, sf_dir, "documents").where("doc_id % 3 = 0"), 0)
+    incremental.delete(folder, table(spark, sf_dir, "documents").where("doc_id % 3 = 0"), DOCUMENTS, 1)
     return _rounded(search(incremental.read(spark, folder, DOCUMENTS), "the ", PLAIN).matches.select("doc_id", "score"))
 
 
@@ -483,4 +653,32 @@ def inc_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.changes(incremental.fingerprints(was), incremental.fingerprints(now))
 
 
+@query(
+    "SELECT 'n' || n_nationkey || '.txt' AS path, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' again' ELSE '' END AS body FROM nation WHERE n_nationkey % 5 != 0 "
+    "UNION ALL SELECT 'main.json', 'main linked anew' UNION ALL SELECT 'r' || r_regionkey || '.txt', r_name FROM region UNION ALL SELECT 'late.txt', 'linked anew'"
+)
+def inc_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of a folder after files were added, changed and deleted, and one that a link had missed has come."""
+    source, folder, rows = fresh(spark, "source"), fresh(spark, "maintained"), _nations(spark, sf_dir)
+    config = IndexConfig(fields=(FieldConfig("body", 1.0), FieldConfig("_relative_fp")), buckets=4)
+    for k, name, _ in rows:
+        put(spark, f"{source}/n{k}.txt", name)
+    put(spark, f"{source}/main.json", json.dumps({"body": "main", "_add_files": "late.txt"}))
+    incremental.update_folder(spark, source, folder, config)
+    for k, name, _ in rows:
+        if k % 5 == 0:
+            remove(spark, f"{source}/n{k}.txt")
+        elif k % 3 == 0:
+            put(spark, f"{source}/n{k}.txt", f"{name} again")
+    for k, name in (tuple(r) for r in table(spark, sf_dir, "region").collect()):
+        put(spark, f"{source}/r{k}.txt", name)
+    put(spark, f"{source}/late.txt", "linked anew")
+    for _ in range(2):  # the second one finds nothing to do
+        incremental.update_folder(spark, source, folder, config)
+    found = search(incremental.read(spark, folder, config), "~zzzzzzzzzz ", PLAIN)
+    texts = results.stored_fields(found.matches.select("doc_id"), found.index)
+    of = lambda name: F.filter("texts", lambda x: x["field"] == name)
+    return texts.select(of("_relative_fp")[0]["text"].alias("path"), F.array_join(F.transform(of("body"), lambda x: x["text"]), " ").alias("body"))
+
+
 FLAGSHIP = "bm25_or"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -37,7 +37,7 @@ _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 @dataclass(frozen=True)
 class Rule:
-    """selector: tag, #id, .class, [attr], [attr="value"], combined or in a list by commas; field: what its text belongs to, if any."""
+    """selector: a CSS selector (see `matches`); field_name: what its text belongs to, if any."""
 
     selector: str
     field_name: str | None = None
@@ -54,37 +54,108 @@ DEFAULT_RULES = (
     Rule("h2,h3,h4,h5,h6", "heading", (("id", "headingLink"),)),
 )
 DEFAULT_EXCLUDED = "script,style,form,nav,[data-search-ignore]"
-_PART = re.compile(r"""([\w*-]+)|#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:=\s*["']?([^"'\]]*)["']?\s*)?\]""")
+_SIMPLE = re.compile(
+    r"""(?P<tag>[\w-]+|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[^\]\s]*))\s*)?\]|:not\((?P<no>[^)]*)\)|:(?P<pseudo>first-child|first-of-type|root)"""
+)
+_JOIN = re.compile(r"\s*([>+~,])\s*|\s+")
+#: (kind, name, value) that an element must meet.
+_Test = tuple[str, str, str | None]
 
 
 @lru_cache
-def _tests(selector: str) -> list[list[tuple[str, str, str | None]]]:
-    """A list of alternatives, each a list of tests that must all hold."""
-    out = []
-    for one in selector.split(","):
-        tests: list[tuple[str, str, str | None]] = []
-        for tag, id_, cls, attr, value in _PART.findall(one.strip()):
-            if tag and tag != "*":
-                tests.append(("tag", tag.lower(), None))
-            elif id_:
-                tests.append(("is", "id", id_))
-            elif cls:
-                tests.append(("class", cls, None))
-            elif attr:
-                tests.append(("is", attr.lower(), value) if f"{attr}=" in one.replace(" ", "") else ("has", attr.lower(), None))
-        out.append(tests)
-    return out
+def _parsed(selector: str) -> list[list[tuple[str, list[_Test]]]]:
+    """The alternatives of a selector, each its compounds from left to right with what joins each to the one before: "", " ", ">", "+" or "~"."""
+    out: list[list[tuple[str, list[_Test]]]] = []
+    chain: list[tuple[str, list[_Test]]] = []
+    tests: list[_Test] = []
+    join, at, text = "", 0, selector.strip()
+    while at < len(text):
+        if m := _SIMPLE.match(text, at):
+            value = next((v for v in (m["v1"], m["v2"], m["v3"]) if v is not None), None)
+            if m["tag"]:
+                tests.append(("any" if m["tag"] == "*" else "tag", m["tag"].lower(), None))
+            elif m["id"]:
+                tests.append(("=", "id", m["id"]))
+            elif m["cls"]:
+                tests.append(("~=", "class", m["cls"]))
+            elif m["attr"]:
+                tests.append((m["op"] or "has", m["attr"].lower(), value))
+            elif m["no"] is not None:
+                tests.append(("not", m["no"], None))
+            else:
+                tests.append(("pseudo", m["pseudo"], None))
+        elif (m := _JOIN.match(text, at)) and tests:
+            chain.append((join, tests))
+            join, tests = m[1] or " ", []
+            if join == ",":
+                out.append(chain)
+                join, chain = "", []
+        else:
+            raise ValueError(f"{selector!r} is no selector that this reads")
+        at = m.end()
+    if not tests:
+        raise ValueError(f"{selector!r} is no selector that this reads")
+    return [*out, [*chain, (join, tests)]]
+
+
+@dataclass
+class Node:
+    """An element as selectors see it: its attributes, the elements around it (outermost first) and those before it in its parent."""
+
+    tag: str
+    attrs: dict[str, str]
+    around: list[Node] = field(default_factory=list)
+    siblings: list[Node] = field(default_factory=list)
+    place: int = 0
+
+    @property
+    def before(self) -> list[Node]:
+        return self.siblings[: self.place]
+
+    def meets(self, tests: list[_Test]) -> bool:
+        return all(self._meets(*t) for t in tests)
+
+    def _meets(self, kind: str, name: str, value: str | None) -> bool:
+        if kind in ("any", "tag"):
+            return kind == "any" or self.tag == name
+        if kind == "not":
+            return not selects(name, self)
+        if kind == "pseudo":
+            return not self.around if name == "root" else not self.before if name == "first-child" else all(x.tag != self.tag for x in self.before)
+        own = self.attrs.get(name)
+        if own is None or kind == "has":
+            return own is not None
+        if kind == "=":
+            return own == value
+        if kind == "~=":
+            return value in own.split()
+        if kind == "|=":
+            return own == value or own.startswith(f"{value}-")
+        return bool(value) and (own.startswith(value) if kind == "^=" else own.endswith(value) if kind == "$=" else value in own)
+
+
+def _chain(node: Node, chain: list[tuple[str, list[_Test]]]) -> bool:
+    join, tests = chain[-1]
+    if not node.meets(tests):
+        return False
+    if len(chain) == 1:
+        return True
+    rest = chain[:-1]
+    near = {" ": node.around, ">": node.around[-1:], "+": node.before[-1:], "~": node.before}[join]
+    return any(_chain(x, rest) for x in near)
+
+
+def selects(selector: str, node: Node) -> bool:
+    return any(_chain(node, chain) for chain in _parsed(selector))
 
 
 def matches(selector: str, tag: str, attrs: dict[str, str]) -> bool:
-    def holds(kind: str, name: str, value: str | None) -> bool:
-        if kind == "tag":
-            return tag == name
-        if kind == "class":
-            return name in attrs.get("class", "").split()
-        return name in attrs and (kind == "has" or attrs[name] == value)
+    """Whether an element by itself is selected.
 
-    return any(tests and all(holds(*t) for t in tests) for tests in _tests(selector))
+    Selectors: tag, *, #id, .class, [attr], [attr="value"] and its kinds ~= |= ^= $= *=, :not(), :first-child, :first-of-type, :root, joined by
+    blanks (within), ">" (directly within), "+" (directly after), "~" (after), and lists by commas.
+    """
+    return selects(selector, Node(tag, attrs))
 
 
 @dataclass
@@ -92,6 +163,8 @@ class _Element:
     tag: str
     field_name: str | None
     excluded: bool
+    node: Node
+    children: list[Node] = field(default_factory=list)
 
 
 class _Zones(HTMLParser):
@@ -101,28 +174,32 @@ class _Zones(HTMLParser):
         self.open: list[_Element] = []
         self.zones: list[list] = []
         self.apart = False
+        self.top = _Element("", None, False, Node("", {}))
 
     @property
     def now(self) -> _Element:
-        return self.open[-1] if self.open else _Element("", None, False)
+        return self.open[-1] if self.open else self.top
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.close_implied(tag)
         named = {k: v or "" for k, v in attrs}
         if tag == "body" and any(e.tag == "body" for e in self.open):  # a second body only adds attributes
             return
-        excluded = self.now.excluded or bool(self.excluded and matches(self.excluded, tag, named))
-        name = self.now.field_name
+        parent = self.now
+        node = Node(tag, named, [e.node for e in self.open], parent.children, len(parent.children))
+        parent.children.append(node)
+        excluded = parent.excluded or bool(self.excluded and selects(self.excluded, node))
+        name = parent.field_name
         if not excluded:
             for rule in self.rules:
-                if matches(rule.selector, tag, named):
+                if selects(rule.selector, node):
                     self.zones += [[f, named[a], ATTRIBUTE] for a, f in rule.attributes if a in named]
                     if rule.field_name:
                         name = rule.field_name
                         break
             self.apart |= name is not None and tag in _SEPARATING
         if tag not in _VOID:
-            self.open.append(_Element(tag, name, excluded))
+            self.open.append(_Element(tag, name, excluded, node))
 
     def close_implied(self, tag: str) -> None:
         closes = _CLOSES.get(tag)

@@ -79,4 +79,4 @@ def test_postings_are_grouped_tokens(spark, sf):
     assert p.where("tf_0 != size(pos_0) OR tf_1 != size(pos_1)").count() == 0
     lengths = p.groupBy("doc_id").agg(F.sum("tf_1").alias("n"), F.min("len_1").alias("a"), F.max("len_1").alias("b"))
     assert lengths.where("n != a OR n != b").count() == 0
-    assert build_index(rows, config()).docs.join(lengths, "doc_id").where("len_1 != n").count() == 0
+    assert build_index(rows, config()).lengths.join(lengths, "doc_id").where("len_1 != n").count() == 0

@@ -22,7 +22,8 @@ def postings(spark, lists, docs=10, config=CONFIG):
     rows = [(t, d, *(x for f in range(3) for x in (len(fs.get(f, [])), fs.get(f, []))), 1, 1, 1) for t, ds in lists.items() for d, fs in ds.items()]
     schema = "term string, doc_id bigint, " + ", ".join(f"tf_{f} int, pos_{f} array<int>" for f in range(3)) + ", len_0 int, len_1 int, len_2 int"
     table = spark.createDataFrame(rows, schema)
-    return Index(config, table, spark.range(docs).select(F.col("id").alias("doc_id"), *[F.lit(1).alias(f"len_{f}") for f in range(3)]), frequencies(table))
+    lengths = spark.range(docs).select(F.col("id").alias("doc_id"), *[F.lit(1).alias(f"len_{f}") for f in range(3)])
+    return Index(config, table, lengths.select("doc_id"), frequencies(table), lengths)
 
 
 def found(index, text, **options):
@@ -61,11 +62,11 @@ def test_worked_scores(spark):
     rows = [("t", 0, 1, [0], 3, [9, 10, 11], 1, 50), ("t", 1, 0, [], 1, [4], 1, 40), ("u", 2, 0, [], 1, [0], 1, 40)]
     table = spark.createDataFrame(rows, "term string, doc_id bigint, tf_0 int, pos_0 array<int>, tf_1 int, pos_1 array<int>, len_0 int, len_1 int")
     docs = spark.createDataFrame([(i, 2, 40) for i in range(10)], "doc_id bigint, len_0 int, len_1 int")
-    index = Index(config, table, docs, frequencies(table))
+    index = Index(config, table, docs.select("doc_id"), frequencies(table), docs)
     assert index.stats == (10, [2.0, 40.0])
     assert math.isclose(found(index, "t")[0], 2.825677, abs_tol=1e-6)  # both fields, by the soft maximum
     body = index.postings.where("doc_id = 0").withColumns({"tf_0": F.lit(0), "pos_0": F.array().cast("array<int>")}).union(index.postings.where("doc_id != 0"))
-    one = Index(IndexConfig(fields=config.fields), body, docs, frequencies(body))
+    one = Index(IndexConfig(fields=config.fields), body, docs.select("doc_id"), frequencies(body), docs)
     assert math.isclose(found(one, "t")[0], 0.7 * 1.491525 * 1.481605, abs_tol=1e-5)
     assert math.isclose(found(one, "t zzzzzzzzzzzzz")[0], 0.7 * 1.491525 * 1.481605 / 4, abs_tol=1e-5)  # one of two terms
     assert math.isclose(found(index, "~t")[5], 0.257829, abs_tol=1e-6)

@@ -66,9 +66,11 @@ def test_a_folder(spark, folder):
     assert texts["plain.txt", 0] == [("_relative_fp", "plain.txt"), ("body", "plain")]
     assert texts["broken.pdf", 0] == [("_relative_fp", "broken.pdf"), ("body", "")]
     assert [t for f, t in texts["one.json", 0] if f == "body"] == ["jay", "more1", "more2", "extra text"]
-    assert sorted(texts) == [("a.html", 0), ("broken.pdf", 0), ("list.csv", 0), ("list.csv", 1), ("one.json", 0), ("plain.txt", 0)]
+    # what is linked, by itself too, stays a document of its own
+    assert sorted(texts) == [("a.html", 0), ("broken.pdf", 0), ("extra.txt", 0), ("list.csv", 0), ("list.csv", 1), ("loop.json", 0), ("one.json", 0), ("plain.txt", 0), ("sub/more.json", 0), ("sub/more.json", 1)]
+    assert [t for f, t in texts["loop.json", 0] if f == "body"] == ["loop"]
     linked = {r["path"]: r["linked"] for r in docs}
-    assert linked["one.json"] == ["sub/more.json", "extra.txt"]
+    assert linked["one.json"] == ["sub/more.json", "extra.txt", "sub/missing.txt"]
 
 
 def test_include_and_exclude(spark, folder):
@@ -87,4 +89,4 @@ def test_csv_by_number_and_options(spark, tmp_path):
 
 def test_numbers_follow_paths(spark, folder):
     got = number_documents(load_folder(spark, folder), after=9).orderBy("doc_id").collect()
-    assert [r["doc_id"] for r in got] == list(range(10, 16)) and [r["path"] for r in got] == sorted(r["path"] for r in got)
+    assert [r["doc_id"] for r in got] == list(range(10, 20)) and [r["path"] for r in got] == sorted(r["path"] for r in got)
