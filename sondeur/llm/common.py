@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop as drop
+from ..storage import exists as exists
+from ..storage import shared_folder as shared_folder
+from ..storage import stored as stored
+
+
 #: Bytes of text that a vectorised step holds at a time (a single longer text is taken whole).
 CHUNK_BYTES = 1 << 20
 
@@ -20,24 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where it is unset, a fresh local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isDefined():
-            return jsc.getCheckpointDir().get()
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage is cut, and lost executors cost nothing."""
+def qualified(df: DataFrame, folder: str) -> str:
+    """folder as a URI that any executor resolves alike."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
 
 
 def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
@@ -94,10 +87,10 @@ _UPPER[0x97] = False
 class Words:
     """The words (runs of bytes that don't end words) of a run of texts, by numpy over their UTF-8 bytes.
 
-    doc: each word's text number.  start, length: bytes.  hash: 64 bits of the word with A-Z and À-Þ in lower case.
+    With `alone`, a character of a script without blanks between words (Han, Kana, Thai) is a word.  doc: each word's text number.  start, length: bytes.  hash: 64 bits of the word with A-Z and À-Þ in lower case.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACE, alone: bool = False):
         base, n = int(offsets[0]), len(offsets) - 1
         buf = data[base : int(offsets[-1])]
         off = offsets - base
@@ -107,19 +100,24 @@ class Words:
         begin[1:] &= ~word[:-1]
         inner = off[:-1][off[:-1] < len(buf)]
         begin[inner] = word[inner]  # a text's end ends a word
+        if alone and len(buf) and int(buf.max()) >= 0xE0:
+            lead = np.flatnonzero((buf >= 0xE3) & (buf <= 0xE9) | (buf == 0xE0) & np.isin(np.append(buf[1:], 0), (0xB8, 0xB9)))
+            begin[lead] = True
+            after = lead[lead + 3 < len(buf)] + 3
+            begin[after] |= word[after]
         self.start = np.flatnonzero(begin)
-        self.word = word
         if len(self.start):
             # a word's bytes run to the next start but for white space, which the mask zeroes
             total = np.add.reduceat(word, self.start, dtype=np.int64)
             self.length = total
-            at = np.arange(len(buf), dtype=np.int64)
-            first = np.repeat(self.start, np.diff(np.append(self.start, len(buf))))
             lead = int(self.start[0])
+            step = np.diff(np.append(self.start, len(buf)))
+            place = (np.arange(lead, len(buf), dtype=np.int32 if len(buf) < 1 << 31 else np.int64) - np.repeat(self.start.astype(np.int32 if len(buf) < 1 << 31 else np.int64), step)).astype(np.uint8)
             fold = _FOLD[buf[lead:]]
             fold[1:] += (_UPPER[buf[lead + 1 :]] & (buf[lead:-1] == 0xC3)).astype(np.uint8) * np.uint8(32)
             value = fold.astype(np.uint64) + np.uint64(1)
-            value *= _POS[(at[lead:] - first) & 255]
+            value *= _POS[place]
+            del place
             value *= word[lead:]
             self.hash = mix64(np.add.reduceat(value, self.start - lead) ^ (total.astype(np.uint64) << np.uint64(48)))
             self.doc = np.searchsorted(off, self.start, side="right") - 1

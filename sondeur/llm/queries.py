@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, licences, mixing, neardup, packing, phrases, quality, tokencount, warc
-from .common import shared_dir, table
+from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.write_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return warc.write_warc(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
 
 
 def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

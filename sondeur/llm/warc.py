@@ -4,14 +4,18 @@ Pages become WARC 1.1 response records whose HTTP and WARC headers, record ids a
 content, each its own gzip member.  Records are sorted by URL, page_id and digest.  Files roll by compressed size: the
 record whose first compressed byte, counted over all sorted records, falls in the k-th multiple of `roll` bytes is in
 file k, so files depend on the pages alone and not on partitions.  Offsets come from a range sort of keys without
-payloads; the payload moves once, to the task that writes its file.  A task writes a file under a temporary name and
-renames it; the driver then writes the manifest, under a temporary name and renamed.  What the manifest doesn't list
-isn't part of the result.  A task that runs again writes the same bytes.
+payloads; the payload moves once, to the task that writes its files, which are a run of consecutive ones, so that there are at most some thousand tasks.
+
+A file's name ends with its digest.  A task writes it under a temporary name that begins with TEMPORARY and renames it;
+the driver then writes the manifest, likewise, as its rows stream in.  What the manifest doesn't list isn't part of the result.
+So a reader sees the old set until the manifest is renamed and the new one after; files of the set before are deleted only
+then, and nothing that this writer didn't make is touched.  A task that runs again writes the same bytes under the same name.
 
 Defined results: null html is an empty payload.  A null or empty url becomes urn:page:<page_id>; blanks and control
 characters in it are percent-encoded.  A null page_id stands as the word null.  Repeated rows are written each, under
-one record id.  A record larger than `roll` fills a file by itself, and the next files are numbered on without gaps.
-An empty table gives a manifest without files and no rows.  Columns beside page_id, url and html don't matter.
+one record id, and one task writes all rows that are equal.  A record larger than `roll` ends its file, which holds what
+begins before it in the same multiple, and the numbers of the multiples that it covers are left out.  An empty table gives a
+manifest without files and no rows.  Columns beside page_id, url and html don't matter.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import qualified, small, stored
 
 ROLL = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 SOFTWARE = "sondeur"
+#: How the names of files that aren't ready begin.
+TEMPORARY = ".warc-writing-"
 _RECORD = "key binary, page_id string, url string, payload_digest string, size bigint, member binary"
 
 
@@ -69,8 +75,9 @@ def record(page: str, url: str | None, html: str | None, date: str = DATE) -> tu
     return f"{uri}\0{page:>20}\0{digest}".encode(), uri, digest, _member(head, block)
 
 
-def opening(file: str, date: str = DATE) -> bytes:
-    """The warcinfo record that begins a file."""
+def opening(number: int, date: str = DATE) -> bytes:
+    """The warcinfo record that begins a file; its name depends on the digest, so the record holds its number alone."""
+    file = f"part-{number:08d}.warc.gz"
     block = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode()
     head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, file)}>"), ("WARC-Date", date), ("WARC-Filename", file), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
     return _member(head, block)
@@ -91,24 +98,29 @@ def records(pages: DataFrame, date: str = DATE, whole: bool = True) -> DataFrame
     return pages.select(F.col("page_id").cast("string"), "url", "html").mapInArrow(run, _RECORD)
 
 
-def first_keys(made: DataFrame, roll: int) -> list[bytes]:
-    """The key of each file's first record, in order; one for each file."""
+def first_keys(made: DataFrame, roll: int, tasks: int = 4096) -> list[tuple[bytes, int]]:
+    """(key, offset) of the first record of each run of files that one task writes, in order: at most `tasks` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, last, first = TaskContext.get().partitionId(), 0, None, 0
         for batch in batches:
-            sizes = batch.column(1).to_numpy()
-            start = at + sizes.cumsum() - sizes
-            at += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(sizes), pa.int32()), pa.array(start), batch.column(1)], ["key", "part", "start", "size"])
+            sizes, start = batch.column(1).to_numpy(), []
+            for key, size in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+                if key != last:
+                    last, first = key, at
+                start.append(first)  # equal keys, which are in one partition, count from the first of them
+                at += size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(sizes), pa.int32()), pa.array(start, pa.int64()), batch.column(1)], ["key", "part", "start", "size"])
 
     sizes = stored(made.select("key", "size"), "sizes")  # the range sort reads its input twice, to sample it first
     keys = stored(sizes.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key binary, part int, start bigint, size bigint"), "keys")
-    parts = keys.groupBy("part").agg(F.sum("size").alias("n"))
+    parts = stored(keys.groupBy("part").agg(F.sum("size").alias("n")), "parts")
+    n, total = parts.count(), parts.agg(F.sum("n")).first()[0] or 0
     bases = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = keys.join(small(bases, parts.count()), "part").select("key", F.floor((F.col("base") + F.col("start")) / F.lit(roll)).alias("file"))
-    # equal keys stand together in the file of the first of them
-    return [bytes(r[0]) for r in placed.groupBy("file").agg(F.min("key").alias("key")).select("key").distinct().orderBy("key").collect()]
+    each = roll * max(1, -(-total // (roll * tasks)))
+    placed = keys.join(small(bases, n), "part").select("key", (F.col("base") + F.col("start")).alias("at"))
+    first = placed.groupBy(F.floor(F.col("at") / F.lit(each)).alias("run")).agg(F.min(F.struct("key", "at")).alias("first")).orderBy("run")
+    return [(bytes(r["first"]["key"]), r["first"]["at"]) for r in first.collect()]
 
 
 @dataclass
@@ -117,11 +129,12 @@ class _Open:
 
     system: Any
     folder: str
-    name: str
+    run: int
+    number: int
     rows: list[tuple] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.temporary = f"{self.folder}/.{self.name}.{uuid.uuid4().hex}"
+        self.temporary = f"{self.folder}/{TEMPORARY}part-{self.run:04d}-{self.number:08d}.{uuid.uuid4().hex}"
         self.stream = self.system.open_output_stream(self.temporary, compression=None)
         self.sha, self.at = hashlib.sha256(), 0
 
@@ -133,23 +146,17 @@ class _Open:
 
     def close(self) -> pa.RecordBatch:
         self.stream.close()
-        self.system.move(self.temporary, f"{self.folder}/{self.name}")
-        page, url, digest, offset, length = zip(*self.rows, strict=True)
+        digest = self.sha.hexdigest()
+        name = f"part-{self.run:04d}-{self.number:08d}-{digest[:16]}.warc.gz"
+        self.system.move(self.temporary, f"{self.folder}/{name}")
+        page, url, payload, offset, length = zip(*self.rows, strict=True)
         n = len(page)
         return pa.RecordBatch.from_arrays(
-            [pa.array(page, pa.string()), pa.array(url, pa.string()), pa.array([self.name] * n), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string()), pa.array([self.at] * n, pa.int64()), pa.array([self.sha.hexdigest()] * n)],
+            [pa.array(page, pa.string()), pa.array(url, pa.string()), pa.array([name] * n), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(payload, pa.string()), pa.array([self.at] * n, pa.int64()), pa.array([digest] * n)],
             ["page_id", "url", "file", "offset", "length", "payload_digest", "file_bytes", "file_sha256"],
         )
 
 
-def qualified(df: DataFrame, folder: str) -> str:
-    """folder as a URI that any executor resolves alike."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    uri = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
-    return re.sub(r"^file:/+", "file:///", uri)
-
-
 def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, date: str = DATE) -> DataFrame:
     """Write pages to folder; (page_id, url, file, offset, length, payload_digest) of every record."""
     uri = qualified(pages, folder)
@@ -159,41 +166,59 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, date: str = DATE
     # cheaper on disk than keeping them, and making them is deterministic.
     firsts = first_keys(records(pages, date, whole=False), roll)
 
+    keys = [k for k, _ in firsts]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [bisect_right(firsts, k) - 1 for k in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], ["file", *batch.schema.names])
+            own = [bisect_right(keys, k) - 1 for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], ["run", *batch.schema.names])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pafs.FileSystem.from_uri(uri)
-        now, at = None, -1
+        now, of, at = None, -1, 0
         for batch in batches:
-            for file, page, url, digest, member in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 6)), strict=True):
-                if file != at:
+            for run, page, url, digest, member in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 6)), strict=True):
+                if run != of:
+                    of, at = run, firsts[run][1]
+                number = at // roll
+                if now is None or (run, number) != (now.run, now.number):
                     if now:
                         yield now.close()
-                    at, now = file, _Open(system, root, f"part-{file:06d}.warc.gz")
-                    now.put(opening(now.name, date))
+                    now = _Open(system, root, run, number)
+                    now.put(opening(number, date))
                 now.rows.append((page, url, digest, now.put(member), len(member)))
+                at += len(member)
         if now:
             yield now.close()
 
     kind = dict(pages.dtypes)["page_id"]
     index = "page_id string, url string, file string, offset bigint, length bigint, payload_digest string, file_bytes bigint, file_sha256 string"
-    sorted_ = records(pages, date).mapInArrow(place, f"file int, {_RECORD}").repartitionById(max(1, len(firsts)), "file").sortWithinPartitions("file", "key")
+    sorted_ = records(pages, date).mapInArrow(place, f"run int, {_RECORD}").repartitionById(max(1, len(firsts)), "run").sortWithinPartitions("run", "key")
     done = stored(sorted_.mapInArrow(write, index), "index")
     commit(done, system, root)
     return done.select(F.expr(f"try_cast(page_id AS {kind})").alias("page_id"), "url", "file", "offset", "length", "payload_digest")
 
 
+def _listed(system: Any, root: str) -> set[str]:
+    """The files of the set that a folder's manifest lists."""
+    if system.get_file_info(f"{root}/manifest.json").type == pafs.FileType.NotFound:
+        return set()
+    with system.open_input_stream(f"{root}/manifest.json", compression=None) as f:
+        return {x["file"] for x in json.loads(f.read())}
+
+
 def commit(index: DataFrame, system: Any, root: str) -> None:
-    """Write the manifest of the files in the index, and remove what failed attempts left in the folder."""
-    files = index.groupBy("file").agg(F.count("*").alias("records"), F.first("file_bytes").alias("bytes"), F.first("file_sha256").alias("sha256")).orderBy("file").collect()
-    temporary = f"{root}/.manifest.{uuid.uuid4().hex}"
+    """Rename a manifest of the files in the index into place, and then delete the files of the set before and of failed attempts."""
+    before, listed = _listed(system, root), set()
+    files = index.groupBy("file").agg(F.count("*").alias("records"), F.first("file_bytes").alias("bytes"), F.first("file_sha256").alias("sha256")).orderBy("file")
+    temporary = f"{root}/{TEMPORARY}manifest.{uuid.uuid4().hex}"
     with system.open_output_stream(temporary, compression=None) as out:
-        out.write(json.dumps([r.asDict() for r in files], indent=1).encode())
+        out.write(b"[")
+        for k, r in enumerate(files.toLocalIterator()):  # one partition of files at a time
+            listed.add(r["file"])
+            out.write((",\n" if k else "\n").encode() + json.dumps(r.asDict()).encode())
+        out.write(b"\n]\n")
     system.move(temporary, f"{root}/manifest.json")
-    listed = {r["file"] for r in files} | {"manifest.json"}
     for info in system.get_file_info(pafs.FileSelector(root)):
-        if info.is_file and info.base_name not in listed:
+        if info.is_file and (info.base_name.startswith(TEMPORARY) or info.base_name in before - listed):
             system.delete_file(info.path)
