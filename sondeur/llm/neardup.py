@@ -1,14 +1,15 @@
 """Near-duplicate search by ProbMinHash over weighted word shingles, with banding and verification.
 
-Texts are read as words of letters and digits in lower case.  A document's shingles are its runs of SHINGLE words
+Texts are read as words of letters and digits in lower case; in scripts without spaces between words each character is one.  A document's shingles are its runs of SHINGLE words
 (all its words, if it has fewer), each with its count as weight.  Each shingle is a Poisson process whose rate is its
 weight; its points fall on M registers and each register keeps the shingle of its earliest point.  A process is
 followed only until it passes the latest register, so long documents cost about one point a shingle.  Two registers
 agree with the probability Jaccard similarity J_P of the weighted sets.
 
-Equal word sequences fall together first, by digest.  Their representatives are banded; in each bucket members are
-held against heads, and then all pairs of members that are not yet connected are compared (see `connected`).  A pair whose estimate lies within MARGIN of the threshold is verified by the exact J_P of its
-texts, any other by the estimate over all registers.  Groups are the connected components of verified pairs.
+Equal word sequences fall together first, by digest.  Their representatives are banded, and pairs that share a band's key
+and aren't connected yet are compared (see `groups`).  A pair whose estimate lies within MARGIN of the threshold is
+verified by the exact J_P of its texts, any other by the estimate over all registers.  Groups are the connected
+components of verified pairs.
 
 Defined results: a document without words (null, empty or marks only) or without doc_id is in no group and kept.  Of a
 group, one row of the least doc_id is kept, however often it repeats.  Rows of one doc_id with different texts are
@@ -17,24 +18,24 @@ judged apart.  Columns beside doc_id and text don't matter.  Word sequences coun
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARKS, Words, chunks, mix64, small, stored, text_buffers
+from .common import MARKS, Words, chunks, drop, mix64, small, stored, text_buffers
+from .groups import connected, low_words
+from .sketch import band_keys, lists
 
 SHINGLE = 3
-BANDS, ROWS = 32, 4
-M = BANDS * ROWS
+#: Registers, and the bands and rows of keys that some of them make (recall 0.88 at the threshold, 0.98 at 0.6).
+M = 128
+BANDS, ROWS = 16, 3
 #: The probability Jaccard similarity from which two documents count as near copies.
 THRESHOLD = 0.5
 MARGIN = 0.15
-#: Rounds in which a bucket's members are held against one head, before all pairs of its components are compared.
-HEADS = 2
-_BYTES = 4 << 20
 
 
 def shingle_keys(w: Words, place: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def shingle_keys(w: Words, place: np.ndarray, size: int = SHINGLE) -> tuple[np.n
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, 40-bit shingle, weight) of each distinct shingle, sorted, and each text's digest (0: no words)."""
-    w = Words(data, offsets, MARKS)
+    w = Words(data, offsets, MARKS, alone=True)
     n, total = w.n, len(w.hash)
     digest = np.zeros(n, np.int64)
     if not total:
@@ -132,137 +133,51 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, node, sig, bands) of the documents with words: digest, 16 bits of each register, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j in chunks(offsets, _BYTES):
+            for i, j in chunks(offsets):
                 doc, element, weight, digest = weighted_shingles(data, offsets[i : j + 1])
                 sig = prob_min_hash(j - i, doc, element, weight)
-                band = salt[None, :] * np.uint64(3)
-                for r in range(ROWS):
-                    band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS][:, :BANDS])
                 has = np.flatnonzero(digest)
                 if not len(has):
                     continue
-                low = np.ascontiguousarray((sig[has] & np.uint64(0xFFFF)).astype(np.uint16)).tobytes()
-                sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * M), len(has), [None, pa.py_buffer(low)]).cast(pa.binary())
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(band[has].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(has)), pa.array(digest[has]), sigs, keys], ["doc_id", "node", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(has)), pa.array(digest[has]), low_words(sig[has]), lists(band_keys(sig[has], BANDS, ROWS))], ["doc_id", "node", "sig", "bands"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, f"doc_id {kind}, node bigint, sig binary, bands array<bigint>")
 
 
-def _estimates(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """pairs (a, b) with the share of registers that agree, corrected for 16 bits' chance."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, M) for k in (2, 3))
-            same = (x == y).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((same - 2**-16) / (1 - 2**-16))], ["a", "b", "alike"])
-
-    left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-    right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint, alike double")
-
-
 def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs (a, b) whose texts' J_P reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (da, oa), (db, ob) = text_buffers(batch.column(2)), text_buffers(batch.column(3))
-            good = []
+            node, good = batch.column(1).to_numpy(), []
             for i in range(batch.num_rows):
                 _, ka, wa, _ = weighted_shingles(da, oa[i : i + 2])
-                _, kb, wb, _ = weighted_shingles(db, ob[i : i + 2])
+                if not i or node[i] != node[i - 1]:  # the join leaves pairs of one b together
+                    _, kb, wb, _ = weighted_shingles(db, ob[i : i + 2])
                 good.append(exact_similarity(ka, wa, kb, wb) >= THRESHOLD)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    if pairs.isEmpty():
+        return pairs
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("id").alias("doc_id"), "kept"), "borderline")
     texts = docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id")
     # Of a repeated doc_id the text with the node's digest counts.
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            right = [weighted_shingles(data, offsets[i : j + 1])[3] for i, j in chunks(offsets, _BYTES)]
+            right = [weighted_shingles(data, offsets[i : j + 1])[3] for i, j in chunks(offsets)]
             own = np.concatenate(right) == batch.column(0).to_numpy() if right else np.zeros(0, bool)
             yield batch.filter(pa.array(own))
 
     found = stored(texts.select("node", "text").mapInArrow(digests, "node bigint, text string").dropDuplicates(["node"]), "texts")
     joined = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def connected(bands: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the nodes in bands (node, key) that are alike to others: root is the least node of the component.
-
-    HEADS rounds each hold the members of a bucket that aren't yet connected with its head of the round against it.
-    Then every pair of a bucket that is in two components is compared, whatever its members matched before: all members
-    outside the bucket's largest component with all members.  No pair is compared twice.
-    """
-    per = Window.partitionBy("key")
-    left, roots, tested = bands, None, None
-    for k in range(HEADS + 1):
-        own = left.withColumn("root", F.col("node")) if roots is None else left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        own = own.withColumn("low", F.min("root").over(per)).withColumn("high", F.max("root").over(per)).where("low != high")
-        if k < HEADS:
-            head = F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", F.lit(k)), "node")).over(per)
-            own = stored(own.withColumn("head", head).select("key", "node", "root", "head"), "buckets")
-            pairs = own.where("root != head.root").select(F.col("node").alias("u"), F.col("head.node").alias("v"))
-        else:
-            own = own.withColumn("n", F.count("*").over(Window.partitionBy("key", "root")))
-            own = stored(own.withColumn("main", F.max(F.struct("n", "root")).over(per)["root"]).select("key", "node", "root", "main"), "buckets")
-            minor = own.where("root != main").select("key", F.col("node").alias("u"), F.col("root").alias("of"))
-            pairs = minor.join(own, "key").where("of != root").select("u", F.col("node").alias("v"))
-        left = own.select("node", "key")
-        pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "open")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = _merged(roots, stored(alike(pairs), "pairs"))
-    return roots if roots is not None else bands.sparkSession.createDataFrame([], "node bigint, root bigint")
-
-
-def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """(node, root) of the components that roots and edges (a, b) make together; only the roots are linked anew."""
-    if roots is None:
-        return stored(components(edges), "roots")
-    of = roots.select(F.col("node").alias("a"), F.col("root").alias("x"))
-    to = roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    ends = edges.join(of, "a", "left").join(to, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    new = stored(components(ends).select(F.col("node").alias("root"), F.col("root").alias("top")), "merged")
-    known = roots.join(new, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    fresh = new.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-    return stored(known.unionByName(fresh), "roots")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in an edge (a, b): root is the least node that it is connected with.
-
-    Alternating stars: each round links a node's larger neighbours, then its smaller ones, to the least of them, and
-    the number of rounds grows with the logarithm of the longest path.  Each round is written to the shared folder.
-    """
-
-    def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-
-    e = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = stored(large, "large")
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(m, "u")
-        e = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(m.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(e, "small")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", F.col("v").alias("root")).distinct())
-        mark = now
+    out = stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "verified")
+    drop(ids, found)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -271,30 +186,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     group_id is the least doc_id of the row's group, size its number of rows; copy counts rows alike in doc_id and text.
     """
     sigs = stored(signatures(docs), "signatures")
-    nodes = stored(sigs.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("kept"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
-    bands = nodes.select("node", F.explode("bands").alias("key"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        est = stored(_estimates(pairs, nodes), "estimates").where(F.col("alike") >= THRESHOLD - MARGIN)
-        sure = est.where(F.col("alike") >= THRESHOLD + MARGIN).select("a", "b")
-        open_ = est.where(F.col("alike") < THRESHOLD + MARGIN).select("a", "b")
-        return sure if open_.isEmpty() else sure.unionByName(_exact(open_, docs, nodes))
-
-    roots = connected(bands, alike)
+    nodes = stored(sigs.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("kept"), F.first("bands").alias("bands")), "nodes")
+    roots = connected(nodes, sigs, M, THRESHOLD - MARGIN, THRESHOLD + MARGIN, lambda pairs: _exact(pairs, docs, nodes))
     by_node = nodes.select("node", "id", "kept").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = by_node.groupBy("root").agg(F.min("id").alias("group_id"), F.sum("kept").alias("size"), F.min_by("node", F.struct("id", "node")).alias("first"))
     of = by_node.select("node", "root").join(groups, "root")
     rows = sigs.groupBy("doc_id", "node").agg(F.count("*").alias("copies"))
-    return (
+    found = (
         rows.join(of, "node")
         .select("doc_id", "node", "group_id", "size", "first", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
         .select("doc_id", "node", "group_id", "size", "copy", ((F.col("copy") == 1) & (F.col("doc_id") == F.col("group_id")) & (F.col("node") == F.col("first"))).alias("keep"))
     )
+    out = stored(found, "groups")
+    drop(sigs, nodes, roots)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, with all their columns."""
-    found = stored(near_duplicates(docs).select("doc_id", "node", "keep"), "decisions")
+    found = near_duplicates(docs).select("doc_id", "node", "keep")
     again = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
     n = again.count()
     gone = found.groupBy("doc_id").agg(F.max("keep").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__id"))
@@ -309,7 +219,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
-            own = [weighted_shingles(data, offsets[i : j + 1])[3] for i, j in chunks(offsets, _BYTES)]
+            own = [weighted_shingles(data, offsets[i : j + 1])[3] for i, j in chunks(offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names)
 
     marked = many.mapInArrow(digest, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __node bigint")

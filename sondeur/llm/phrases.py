@@ -3,14 +3,13 @@
 A text is read as words of letters and digits in lower case and parsed as by LZ78: each phrase is the shortest run of
 words that is not yet in the text's dictionary.  The phrase set is hashed and kept as BINS one-permutation minima.
 Two documents are alike if the share of equal minima, an estimate of their phrase sets' Jaccard similarity, is at
-least THRESHOLD.  Candidates share one of BANDS keys of ROWS minima (recall 0.97 at the threshold, more above); in each
-bucket members are held against heads, and then all pairs that are not yet connected are compared.  Groups are the
-connected components of alike pairs.
+least THRESHOLD.  Candidates share one of BANDS keys of ROWS minima (recall 0.98 at the threshold, more above); all of them
+that aren't connected yet are compared (see `groups`).  Groups are the connected components of alike pairs.
 
 Defined results: every row gives one row.  A text without words (null, empty or marks only) has no phrases, a null
 fingerprint and a null group.  A null doc_id is a row like any other; it names a group only if the group has no other.
-Repeated rows and equal phrase sets share a fingerprint and a group.  Columns beside doc_id and text don't matter.  A
-script without spaces between words counts a run of it as one word.
+Repeated rows and equal phrase sets share a fingerprint and a group.  Columns beside doc_id and text don't matter.  In
+scripts without spaces between words (Han, Kana, Thai) each character is a word.
 """
 
 from __future__ import annotations
@@ -23,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARKS, Words, chunks, mix64, stored, text_buffers
-from .neardup import connected
-from .sketch import agreement, band_keys, lists, low_bytes, min_hashes
+from .common import MARKS, Words, chunks, drop, mix64, stored, text_buffers
+from .groups import connected, low_words
+from .sketch import band_keys, lists, min_hashes
 
-BANDS, ROWS = 32, 8
-BINS = BANDS * ROWS
+BINS = 256
+BANDS, ROWS = 20, 6
 #: The similarity of phrase sets from which two documents are alike.
 THRESHOLD = 0.75
 _MASK = (1 << 64) - 1
@@ -49,7 +48,7 @@ def phrase_set(words: list[int]) -> set[int]:
 
 def phrase_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, phrase) of all phrases of a run of texts."""
-    w = Words(data, offsets, MARKS)
+    w = Words(data, offsets, MARKS, alone=True)
     words, ends = w.hash.tolist(), np.cumsum(w.count)
     sets = [phrase_set(words[e - c : e]) for c, e in zip(w.count.tolist(), ends.tolist(), strict=True)]
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -78,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         batch.column(0).slice(i, n),
                         pa.array(size),
                         pa.array(digest.view(np.int64), mask=size == 0),
-                        pc.if_else(blank, null.cast(pa.binary())[0], low_bytes(sig)),
+                        pc.if_else(blank, null.cast(pa.binary())[0], low_words(sig)),
                         pc.if_else(blank, null.cast(pa.list_(pa.int64()))[0], lists(band_keys(sig, BANDS, ROWS))),
                     ],
                     ["doc_id", "phrases", "node", "sig", "bands"],
@@ -88,27 +87,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, phrases bigint, node bigint, sig binary, bands array<bigint>")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose signatures agree in at least THRESHOLD of their registers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select([0, 1]).filter(pa.array(agreement(batch.column(2), batch.column(3), BINS) >= THRESHOLD))
-
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
-
-
 def phrase_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, phrases, fingerprint, group_id, size): group_id is the least doc_id of the alike documents, size their number of rows."""
     rows = stored(fingerprints(docs), "fingerprints")
     nodes = stored(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes"
+        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes"
     )
-    bands = nodes.select("node", F.explode("bands").alias("key"))
-    roots = connected(bands, lambda pairs: alike(pairs, nodes))
+    roots = connected(nodes, rows.where("node IS NOT NULL"), BINS, THRESHOLD, THRESHOLD)
     of = nodes.select("node", "id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = of.groupBy("root").agg(F.min("id").alias("group_id"), F.sum("n").alias("size"))
     by_node = of.select("node", "root").join(groups, "root").drop("root")
-    return rows.select("doc_id", "phrases", "node").join(by_node, "node", "left").select("doc_id", "phrases", F.lower(F.hex("node")).alias("fingerprint"), "group_id", "size")
+    out = stored(rows.select("doc_id", "phrases", "node").join(by_node, "node", "left").select("doc_id", "phrases", F.lower(F.hex("node")).alias("fingerprint"), "group_id", "size"), "groups")
+    drop(rows, nodes, roots)
+    return out

@@ -46,18 +46,6 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def low_bytes(sig: np.ndarray) -> pa.Array:
-    """The registers' last eight bits, one binary value for each row."""
-    data = np.ascontiguousarray((sig & np.uint64(255)).astype(np.uint8)).tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(sig.shape[1]), len(sig), [None, pa.py_buffer(data)]).cast(pa.binary())
-
-
-def agreement(x: pa.Array, y: pa.Array, bins: int) -> np.ndarray:
-    """The share of equal registers of two columns of low bytes, corrected for the chance of eight bits."""
-    a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, bins) for c in (x, y))
-    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-
-
 def lists(values: np.ndarray) -> pa.Array:
     """A two-dimensional array as a column of lists."""
     n, width = values.shape

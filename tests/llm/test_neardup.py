@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
-from sondeur.llm import neardup
+from sondeur.llm import groups, neardup
 from sondeur.llm.common import text_buffers
 
 from .conftest import prose, table, word
@@ -85,7 +85,7 @@ def test_one_of_each_group_stays(spark):
 
 def test_a_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
-    got = {r["node"]: r["root"] for r in neardup.components(edges).collect()}
+    got = {r["node"]: r["root"] for r in groups.components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
@@ -99,6 +99,69 @@ def test_large_groups_of_copies(spark):
     assert max(got.values()) >= 1470
 
 
+def _signed(rng, base, share, n, width=64):
+    """Registers of n sets of which each takes about `share` from base and the rest from nowhere else."""
+    own = rng.integers(0, 1 << 16, (n, width), dtype=np.uint16)
+    return np.where(rng.random((n, width)) < share, base, own)
+
+
+def test_unlike_members_of_a_large_bucket_are_hardly_compared(spark):
+    """10 000 unlike nodes that share a quarter of their registers, and in one bucket all of them: far from all pairs are compared."""
+    rng = np.random.default_rng(1)
+    n, width = 10_000, 64
+    sig = _signed(rng, rng.integers(0, 1 << 16, width, dtype=np.uint16), 0.2, n, width)
+    twins = [(k, k + 5000) for k in range(0, 200, 5)]  # alike in six of ten registers
+    for a, b in twins:
+        own = rng.random(width) < 0.75
+        sig[b, own] = sig[a, own]
+    rows = [(i, i, sig[i].tobytes()) for i in range(n)]
+    members = spark.createDataFrame(rows, "node bigint, root bigint, sig binary")
+    pairs, often = groups.rare_pairs(members, width, 0.6)
+    found = {tuple(r) for r in pairs.collect()}
+    assert set(twins) <= found
+    assert len(found) < n * n / 2 / 100 and often.count() < n / 100
+    nodes = spark.createDataFrame([(i, sig[i].tobytes(), [1]) for i in range(n)], "node bigint, sig binary, bands array<bigint>")
+    got = {r["node"]: r["root"] for r in groups.connected(nodes, nodes, width, 0.6, 0.6).collect()}
+    assert {(a, b) for a, b in twins if got.get(b) == a} == set(twins)
+    exact = [(a, b) for a, b in found if (sig[a] == sig[b]).mean() >= 0.61]
+    assert all(got[a] == got[b] for a, b in exact) and len(set(got.values())) >= n / 50 or len(got) == 2 * len(twins)
+
+
+def test_large_buckets_by_brute_force(spark):
+    """One bucket of more than BLOCK nodes in families: the same components as by comparing all pairs, frequent registers and all."""
+    rng = np.random.default_rng(2)
+    n, width = 2600, 64
+    common = rng.integers(0, 1 << 16, width, dtype=np.uint16)
+    sig = np.vstack([_signed(rng, np.where(rng.random(width) < 0.5, common, rng.integers(0, 1 << 16, width, dtype=np.uint16)), 0.8, 13, width) for _ in range(n // 13)])
+    like = np.array([(sig == s).mean(axis=1) for s in sig])
+    parent = np.arange(n)
+    for i, j in np.argwhere(np.triu(groups.corrected(like) >= 0.6, 1)):
+        a, b = parent[i], parent[j]
+        parent[parent == max(a, b)] = min(a, b)
+    nodes = spark.createDataFrame([(i, sig[i].tobytes(), [7]) for i in range(n)], "node bigint, sig binary, bands array<bigint>")
+    got = {r["node"]: r["root"] for r in groups.connected(nodes, nodes, width, 0.6, 0.6).collect()}
+    assert [got.get(i, i) for i in range(n)] == parent.tolist()
+    assert 50 < len(set(parent.tolist())) < n - 500
+    # and by tiles of all members alone
+    members = spark.createDataFrame([(i, i, sig[i].tobytes()) for i in range(n)], "node bigint, root bigint, sig binary")
+    edges = groups._blocks(groups._tiles(members), width, 0.6, 0.6, False).collect()
+    tied = np.arange(n)
+    for r in edges:
+        a, b = tied[r["a"]], tied[r["b"]]
+        tied[tied == max(a, b)] = min(a, b)
+    assert tied.tolist() == parent.tolist()
+
+
+def test_scripts_without_blanks(spark):
+    rng = random.Random(10)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(120))
+    near = text[:60] + "字" + text[61:]
+    other = "".join(chr(rng.randint(0x0E01, 0x0E2E)) for _ in range(100))
+    rows = [(1, text, "zh", "s"), (2, near, "zh", "s"), (3, other, "th", "s"), (4, other[:50] + "ก" + other[51:], "th", "s")]
+    got = {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_members_matched_to_a_head_still_meet_the_others(spark):
     """Every alike pair of one bucket is connected in a group of copies at 0.4 to 0.9 of their original."""
     rng = random.Random(9)
