@@ -1,13 +1,17 @@
 """Quality classifier (boosted trees) and quality rules (isolation forest), both over rule statistics of whole texts.
 
-Both fit on at most MAX_LABELLED labelled rows (those with the smallest hashes of their doc_id) and score every
-document in one narrow pass without a shuffle.
-
-Defined results: a null, empty or blank text scores 0 in the classifier and 1 in the rules, and is rejected by both.
-A null doc_id is scored like any other.  Repeated rows are each scored, alike.  A document with several labels counts
-as good if at least half of them are 1; null labels and labels of unknown documents are left out.  Without labelled
-rows of both classes nothing but blank texts is rejected.  Columns beside doc_id and text are ignored, or passed
-through unread by `only_good` and `only_ordinary`.
+Documents with labels are measured once.  The classifier is fitted on at most MAX_LABELLED of them, drawn by hash among four
+fifths; its threshold is calibrated on all labelled documents of the other fifth.  The rules' limits, medians and
+deviations come from all good labelled documents and their threshold from all labelled ones, through histograms whose size the
+data don't change; only the forest's random subsamples are drawn from at most MAX_LABELLED.  Then every document is scored in
+one narrow pass without a shuffle.
+
+Defined results: doc_id may be of any type that can be joined; a label's doc_id is cast to it.  A null, empty or blank
+text scores 0 in the classifier and 1 in the rules, and is rejected by both.  A null doc_id is scored like any other, but no label
+is its own.  Repeated rows are each scored, alike; in fitting a doc_id counts once, by the text of least statistics.  A
+document with several labels counts as good if at least half of them are 1; null labels and labels of unknown documents
+are left out.  Without labelled rows of both classes nothing but blank texts is rejected.  Columns beside doc_id and text
+are ignored, or passed through unread by `only_good` and `only_ordinary`.
 """
 
 from __future__ import annotations
@@ -19,11 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, stored
 from .textstats import NAMES, statistics
 from .trees import IsolationForest, calibrated, fit_boosted, fit_isolation
 
-#: The most labelled rows that a model is fitted on.
+#: The most labelled documents that a model is fitted on.
 MAX_LABELLED = 20_000
+#: One labelled document in so many is held out of the classifier's fit, to calibrate its threshold.
+HELD = 5
+#: Steps of a histogram for each unit of log(1 + value), and of a score.
+STEPS, SCORE_STEPS = 1 << 15, 1 << 11
 #: The share of good labelled rows that a calibrated threshold may reject.
 SPARE = 0.002
 
@@ -33,43 +42,90 @@ RULES = tuple(NAMES.index(x) for x in ("word_chars", "letters", "upper", "digits
 PRIOR_WORDS = 10
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """(statistics, 1 for good) of a bounded sample of labelled documents, in a fixed order."""
-    chosen = (
-        labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("q"))
-        .dropna()
-        .groupBy("id")
-        .agg((F.avg("q") >= 0.5).cast("double").alias("good"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(bound)
-    )
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(F.broadcast(chosen), "id")  # at most `bound` rows
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, good, held, x) of every labelled document, one row for each doc_id: x are its statistics."""
+    kind = dict(docs.dtypes)["doc_id"]
+    marks = labels.select(F.col("doc_id").try_cast(kind).alias("id"), F.col("quality").cast("double").alias("q")).dropna().groupBy("id").agg((F.avg("q") >= 0.5).cast("double").alias("good"))
+    marks = stored(marks, "marks")
+    n, own = marks.count(), docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    few = small(marks, n)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = statistics(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], ["id", "good", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], ["id", "x"])
+
+    # a broadcast filter spares the texts without labels; where labels are too many for that, statistics are shuffled and not texts
+    rows = own.join(few, "id", "left_semi") if few is not marks else own.where("id IS NOT NULL")
+    found = rows.select("id", "body").mapInArrow(measure, f"id {kind}, x array<double>").groupBy("id").agg(F.min("x").alias("x"))
+    return stored(found.join(few, "id").select("id", "good", (F.pmod(F.xxhash64("id"), F.lit(HELD)) == HELD - 1).alias("held"), "x"), "labelled")
+
+
+def sample(rows: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, 1 for good) of at most `bound` rows of `labelled`: those with the smallest hashes, in their order."""
+    found = rows.orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(bound).select("good", "x").toArrow()
+    return np.array(found["x"].to_pylist(), float).reshape(-1, len(NAMES)), found["good"].to_numpy()
+
+
+def histogram(rows: DataFrame, values: Callable[[np.ndarray], np.ndarray], place: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(column, good, step, rows) by place: how many rows of `labelled` have each step in each column of values(x).
+
+    Counts are added up where the rows are, so the driver gets one row for each step, however many documents there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+            at = place(values(x)).astype(np.int64)
+            key = np.column_stack([np.tile(np.arange(at.shape[1]), len(x)), np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), at.shape[1]), at.ravel()])
+            own, n = np.unique(key, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2]), pa.array(n)], ["col", "good", "step", "n"])
 
-    found = rows.select("id", "body", "good").mapInArrow(measure, "id long, good double, x array<double>").toArrow()
-    x = np.array(found["x"].to_pylist(), float).reshape(-1, len(NAMES))
-    ids, good = found["id"].to_numpy(), found["good"].to_numpy()
-    order = np.lexsort((*x.T, ids))  # the same whatever the partitions
-    return x[order], good[order]
+    counts = rows.select("good", "x").mapInArrow(run, "col bigint, good bigint, step bigint, n bigint").groupBy("col", "good", "step").agg(F.sum("n").alias("n"))
+    t = counts.toArrow().sort_by([("col", "ascending"), ("step", "ascending"), ("good", "ascending")])
+    return tuple(t[c].to_numpy() for c in ("col", "good", "step", "n"))
+
+
+def _logarithmic(v: np.ndarray) -> np.ndarray:
+    return np.rint(np.log1p(np.maximum(v, 0)) * STEPS)
+
+
+def _value(step: np.ndarray) -> np.ndarray:
+    return np.expm1(step / STEPS)
+
+
+def spread(rows: DataFrame, values: Callable[[np.ndarray], np.ndarray], shares: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(quantiles by share and column, standard deviation by column) of values over all of rows, as fine as the histogram."""
+    col, _, step, n = histogram(rows, values, _logarithmic)
+    quantiles, deviation = [], []
+    for c in range(int(col.max()) + 1 if len(col) else 0):
+        v, k = _value(step[col == c]), n[col == c]
+        upto, total = np.cumsum(k), k.sum()
+        quantiles.append([v[np.searchsorted(upto, q * (total - 1), side="right")] for q in shares])
+        mean = (v * k).sum() / total
+        deviation.append(np.sqrt((k * (v - mean) ** 2).sum() / total))
+    return np.array(quantiles).T, np.array(deviation)
+
+
+def threshold(rows: DataFrame, score: Callable[[np.ndarray], np.ndarray], spare: float) -> float:
+    """`calibrated` over all of rows, the scores taken in steps."""
+    _, good, step, n = histogram(rows, lambda x: score(x)[:, None], lambda v: np.rint(v * SCORE_STEPS))
+    return calibrated(step / SCORE_STEPS, good < 0.5, spare, n)
 
 
 Scorer = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def classifier(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Scorer:
-    """Texts to (probability of good, accepted).  A fifth of the labelled rows sets the threshold."""
-    x, good = labelled_statistics(docs, labels, bound)
-    held = np.random.default_rng(7).permutation(len(x)) % 5 == 4
-    probe = fit_boosted(x[~held], good[~held])
-    cut = calibrated(-probe.total(x[held]), good[held] < 0.5, SPARE) if held.any() else float("inf")
-    if not np.isfinite(cut) and len(x) and good.min() < good.max():  # the fifth lacks a class that the rest has
-        cut = 0.0
-    cut = max(cut, 0.0)  # never stricter than even odds
+    """Texts to (probability of good, accepted)."""
+    rows = labelled(docs, labels)
+    x, good = sample(rows.where("NOT held"), bound)
     model = fit_boosted(x, good)
+    cut = float("inf")
+    if len(x) and good.min() < good.max():
+        cut = threshold(rows.where("held"), lambda v: np.clip(-model.total(v), -32, 32), SPARE)
+        # the fifth may lack a class that the rest has; and no threshold is stricter than even odds
+        cut = max(cut, 0.0) if np.isfinite(cut) else 0.0
 
     def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s = statistics(texts)
@@ -92,21 +148,20 @@ def rules(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Scor
     texts' standard deviations on a log scale.  The forest parts labelled texts by these, and the threshold on its
     score is calibrated on their labels.
     """
-    x, good = labelled_statistics(docs, labels, bound)
-    fine = x[good > 0.5]
-    if not len(fine):
-        fine = np.zeros((1, len(NAMES)))
-    usual = np.median(fine, axis=0)
-    inside = _rates(fine, usual)
-    low, high = np.percentile(inside, [0.2, 99.8], axis=0)
-    unit = np.maximum(inside.std(axis=0), 1e-3)
+    rows = labelled(docs, labels)
+    fine = rows.where("good = 1")
+    middle, _ = spread(fine, lambda x: x, (0.5,))
+    usual = middle[0] if len(middle) else np.zeros(len(NAMES))
+    limits, deviation = spread(fine, lambda x: _rates(x, usual), (0.002, 0.998))
+    low, high = limits if len(limits) else np.zeros((2, len(RULES)))
+    unit = np.maximum(deviation, 1e-3) if len(deviation) else np.full(len(RULES), 1e-3)
 
     def excess(s: np.ndarray) -> np.ndarray:
         r = _rates(s, usual)
         return np.log1p(np.maximum(np.maximum(low - r, r - high), 0) / unit)
 
-    forest: IsolationForest = fit_isolation(excess(x))
-    cut = calibrated(forest.score(excess(x)), good < 0.5, SPARE) if len(x) else float("inf")
+    forest: IsolationForest = fit_isolation(excess(sample(rows, bound)[0]))
+    cut = threshold(rows, lambda x: forest.score(excess(x)) * 32, SPARE) / 32
 
     def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s = statistics(texts)
@@ -130,14 +185,13 @@ def scored(docs: DataFrame, scorer: Scorer, name: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """The rows of docs that the scorer accepts, with all their columns."""
-    at = docs.columns.index("text")
+    """The rows of docs that the scorer accepts, with all their columns; texts alone go through Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(scorer(b.column(at))[1]))
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
+        return pa.array(scorer(texts)[1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(keep("text"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:

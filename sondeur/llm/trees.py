@@ -130,17 +130,18 @@ def fit_isolation(x: np.ndarray, trees: int = 200, sample: int = 256, depth: int
     return IsolationForest(FlatTrees(feature, threshold, leaf, 0.0), scale)
 
 
-def calibrated(score: np.ndarray, bad: np.ndarray, spare: float) -> float:
+def calibrated(score: np.ndarray, bad: np.ndarray, spare: float, rows: np.ndarray | None = None) -> float:
     """The threshold above which rows are rejected: the best balance of bad rows caught over good rows lost, among
     thresholds that lose at most the share `spare` of good rows.  Midway between neighbours; inf where a class is missing.
+    Each score stands for `rows` rows, or for one.
     """
     bad = bad.astype(bool)
     if not bad.any() or bad.all():
         return float("inf")
-    values = np.unique(score)
+    rows = np.ones(len(score), np.int64) if rows is None else rows
+    values, at = np.unique(score, return_inverse=True)
     cuts = np.append((values[:-1] + values[1:]) / 2, values[-1] + 1e-9)
-    good = np.sort(score[~bad])
-    caught = 1 - np.searchsorted(np.sort(score[bad]), cuts, side="right") / bad.sum()
-    lost = 1 - np.searchsorted(good, cuts, side="right") / len(good)
-    fine = lost <= spare
+    counts = [np.bincount(at[x], rows[x], len(values)) for x in (bad, ~bad)]
+    caught, lost = (1 - np.cumsum(n) / n.sum() for n in counts)
+    fine = lost <= spare + 1e-12
     return float(cuts[fine][np.argmax((caught - lost)[fine])])

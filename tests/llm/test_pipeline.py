@@ -46,7 +46,7 @@ def test_quality_stages_judge_each_text_alone(spark, sf, stages):
         scorer = fit(docs, labels)
         want = Counter(r for r in rows(stages[before]) if scorer(pa.array([r[1]], pa.string()))[1][0])
         assert Counter(rows(stages[after])) == want
-    x, good = quality.labelled_statistics(docs, labels)
+    x, good = quality.sample(quality.labelled(docs, labels), quality.MAX_LABELLED)
     assert x.shape == (len(good), len(NAMES))
     model = fit_boosted(x, good)
     for r in rows(docs)[:40]:  # the flattened trees, node by node
