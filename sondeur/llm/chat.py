@@ -1,15 +1,18 @@
 """Chat formatting by schema fingerprints.
 
-A record is a JSON object.  Its nested field paths (keys joined by dots, `[]` for an array's members), as far as some
-layout knows them, are sorted and hashed.  The hash selects a declarative layout: where its turns are, which paths hold
-role and content, and which are optional.  Each layout is registered under the hash of every set of its paths that it
-admits, so one lookup decides, whatever else the record holds.  All layouts become (record, turn, role, content).
-
-Defined results: keys beside those that layouts know, also ones that clash with the table's, change nothing.  A null
-value counts as an absent path, but a null content of a present turn gives a turn with null content where the layout
-takes roles from the record.  A record of no known layout, of no turns, or that is no JSON object gives one row with
-null turn, role and content and its fingerprint, so none is lost.  Unknown roles are kept in lower case.  Repeated
-records give repeated rows.  Extra columns are passed over.
+A record is a JSON object.  Its nested field paths (keys joined by dots, `[]` for an array's members) are held against
+each declarative layout: of those that the layout knows, the sorted paths are hashed, and the layout fits if it is
+registered under that hash, which it is for each choice of its optional paths.  The fitting layout that reads most of the
+record's paths counts, and of equal ones the one that stands first.  A layout says where turns are and which paths hold role
+and content.  Structures are looked up once for each set of known paths.  All layouts become (record, turn, role, content).
+
+Defined results: keys that a layout doesn't know, also ones that clash with the table's or are other layouts' own,
+don't keep it from fitting.  A null value counts as an absent path, but a null content of a present turn gives a turn with null
+content where the layout takes roles from the record.  Content that is an array of parts is the parts' texts, joined by
+line ends; other values that are no strings stand as JSON.  A record of no known layout, of no turns, or that is no JSON
+object gives one row with null turn, role and content and its fingerprint (of all known paths where no layout fits), so none is
+lost.  Unknown roles are kept in lower case.  Repeated records give repeated rows.  Very long texts are kept whole.
+Extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -63,12 +66,16 @@ LAYOUTS = (
     Layout("turn-row", row="turn", role="role", content="text", optional=("role", "text")),
     Layout("messages", turns="messages", role="role", content="content", before=(("system", "system"),), optional=("system", "messages[].content")),
     Layout("sharegpt", turns="conversations", role="from", content="value", before=(("system", "system"),), optional=("system", "conversations[].value")),
+    Layout("role-conversations", turns="conversations", role="role", content="content", before=(("system", "system"),), optional=("system", "conversations[].content")),
     Layout("dialog", turns="dialog", role="speaker", content="text", optional=("dialog[].text",)),
     Layout("nested-messages", turns="conversation.messages", role="author", content="content.text"),
     Layout("alpaca", fixed=(("user", "instruction+input"), ("assistant", "output")), before=(("system", "system"),), optional=("input", "output", "system")),
-    Layout("prompt-completion", fixed=(("user", "prompt"), ("assistant", "completion")), optional=("completion",)),
+    Layout("instruction-response", fixed=(("user", "instruction+context"), ("assistant", "response")), before=(("system", "system"),), optional=("context", "system")),
+    Layout("prompt-completion", fixed=(("user", "prompt"), ("assistant", "completion")), before=(("system", "system"),), optional=("system",)),
     Layout("prompt-response", fixed=(("user", "prompt"), ("assistant", "response")), before=(("system", "system"),), optional=("system",)),
+    Layout("preference", fixed=(("user", "prompt"), ("assistant", "chosen")), before=(("system", "system"),), optional=("system",)),
     Layout("question-answer", fixed=(("user", "context+question"), ("assistant", "answer")), optional=("context", "answer")),
+    Layout("prompt-alone", fixed=(("user", "prompt"),)),
 )
 
 
@@ -90,14 +97,27 @@ def field_paths(value: object, at: str = "") -> set[str]:
     return {at} if at else set()
 
 
-def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[dict[str, Layout], set[str]]:
-    """(fingerprint to layout, all known paths): a layout stands under each choice of its optional paths; the first of two that clash counts."""
-    out: dict[str, Layout] = {}
+@dataclass(frozen=True)
+class Registry:
+    """Layouts, each with its paths and the fingerprints of those sets of them that it admits."""
+
+    layouts: tuple[tuple[Layout, frozenset[str], frozenset[str]], ...]
+    known: frozenset[str]
+
+    def find(self, paths: frozenset[str]) -> tuple[Layout | None, str]:
+        """(layout, fingerprint) of a record's known paths."""
+        fitting = [(len(paths & own), layout, mark) for layout, own, marks in self.layouts if (mark := fingerprint(paths & own)) in marks]
+        _, layout, mark = max(fitting, key=lambda x: x[0], default=(0, None, fingerprint(paths)))
+        return layout, mark
+
+
+def registry(layouts: tuple[Layout, ...] = LAYOUTS) -> Registry:
+    made = []
     for x in layouts:
-        for k in range(len(x.optional) + 1):
-            for gone in itertools.combinations(x.optional, k):
-                out.setdefault(fingerprint(x.paths() - set(gone)), x)
-    return out, set().union(*(x.paths() for x in layouts))
+        own = frozenset(x.paths())
+        marks = frozenset(fingerprint(own - set(gone)) for k in range(len(x.optional) + 1) for gone in itertools.combinations(x.optional, k))
+        made.append((x, own, marks))
+    return Registry(tuple(made), frozenset().union(*(own for _, own, _ in made)))
 
 
 def _get(value: object, path: str) -> object:
@@ -107,7 +127,11 @@ def _get(value: object, path: str) -> object:
 
 
 def _text(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, list):  # parts of a message; those without a text, such as images, stand as JSON
+        return "\n".join(x if isinstance(x, str) else x["text"] if isinstance(x, dict) and isinstance(x.get("text"), str) else json.dumps(x, ensure_ascii=False) for x in value)
+    return json.dumps(value, ensure_ascii=False)
 
 
 def _role(value: object) -> str | None:
@@ -139,19 +163,21 @@ def turns(record: object, layout: Layout) -> list[tuple[int, str | None, str | N
 
 def canonical_turns(records: DataFrame, key: str, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(<key>, turn, role, content, layout, fingerprint) of all records, by one narrow pass."""
-    by_print, known = registry(layouts)
+    known = registry(layouts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[frozenset[str], tuple[Layout | None, str]] = {}  # as many as there are sets of known paths
         for batch in batches:
             own, rows = [], []
             for i, source in enumerate(batch.column(1).to_pylist()):
                 try:
                     value = json.loads(source) if source is not None else None
-                    paths = field_paths(value) & known if isinstance(value, dict) else set()
+                    paths = known.known & field_paths(value) if isinstance(value, dict) else frozenset()
                 except (ValueError, RecursionError):  # no JSON, or nested too deeply for any layout
-                    value, paths = None, set()
-                mark = fingerprint(paths)
-                layout = by_print.get(mark)
+                    value, paths = None, frozenset()
+                if paths not in seen:
+                    seen[paths] = known.find(paths)
+                layout, mark = seen[paths]
                 said = turns(value, layout) if layout else []
                 for turn, role, content in said or [(None, None, None)]:
                     own.append(i)
@@ -169,13 +195,20 @@ def table_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def oracle() -> str:
-    """table_turns over the table conversations, whose rows are all of the layout turn-row, in DuckDB's SQL."""
+    """table_turns over the table conversations, whose rows are of the layout turn-row where they have a turn, in DuckDB's SQL."""
+
+    def marks(every: set[str]) -> str:
+        return " ".join(
+            f"WHEN {' AND '.join(f'{c} IS {"NULL" if c in gone else "NOT NULL"}' for c in LAYOUTS[0].optional)} THEN '{fingerprint(every - set(gone))}'"
+            for k in range(len(LAYOUTS[0].optional) + 1)
+            for gone in itertools.combinations(LAYOUTS[0].optional, k)
+        )
+
     every = LAYOUTS[0].paths()
-    marks = " ".join(
-        f"WHEN {' AND '.join(f'{c} IS {"NULL" if c in gone else "NOT NULL"}' for c in LAYOUTS[0].optional)} THEN '{fingerprint(every - set(gone))}'"
-        for k in range(len(LAYOUTS[0].optional) + 1)
-        for gone in itertools.combinations(LAYOUTS[0].optional, k)
-    )
     roles = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ROLES.items())
     said = "lower(trim(role))"
-    return f"SELECT conv_id, turn, CASE {said} {roles} ELSE {said} END AS role, text AS content, '{LAYOUTS[0].name}' AS layout, CASE {marks} END AS fingerprint FROM conversations WHERE turn IS NOT NULL"
+    fits = "turn IS NOT NULL"
+    return (
+        f"SELECT conv_id, turn, CASE WHEN {fits} THEN CASE {said} {roles} ELSE {said} END END AS role, CASE WHEN {fits} THEN text END AS content, "
+        f"CASE WHEN {fits} THEN '{LAYOUTS[0].name}' END AS layout, CASE WHEN {fits} THEN CASE {marks(every)} END ELSE CASE {marks(every - {'turn'})} END END AS fingerprint FROM conversations"
+    )
