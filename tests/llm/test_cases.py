@@ -1,13 +1,15 @@
 """Each operator over tables of hard cases, and over empty ones; and each query with SQL against that SQL."""
 
 import os
+import uuid
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sondeur.llm import licences, mixing, neardup, packing, phrases, quality, tokencount
+from sondeur.llm import chat, licences, mixing, neardup, packing, phrases, quality, tokencount, warc
+from sondeur.llm.common import shared_folder
 from sondeur.llm.queries import ORACLE, QUERIES
 
 OPERATORS = {
@@ -15,6 +17,8 @@ OPERATORS = {
     "op1 filter": lambda d, labels: quality.only_ordinary(d, d, labels),
     "op2": lambda d, labels: mixing.mixed(d),
     "op2 rows": lambda d, labels: mixing.mixture(d),
+    "op3": lambda d, labels: chat.table_turns(d.withColumn("turn", F.col("doc_id")).withColumn("role", F.col("lang")), "doc_id"),
+    "op4": lambda d, labels: _written(d),
     "op5": lambda d, labels: phrases.phrase_groups(d),
     "op6": lambda d, labels: tokencount.token_counts(d),
     "op7": lambda d, labels: neardup.near_duplicates(d),
@@ -24,7 +28,15 @@ OPERATORS = {
     "op9": lambda d, labels: packing.packed(d),
     "op10": lambda d, labels: licences.licence_scan(d),
 }
-ONE_FOR_EACH = {"op1", "op5", "op6", "op8", "op10"}
+
+
+def _written(d):
+    """The table as pages; their ids are doc_ids."""
+    pages = d.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumn("url", F.concat(F.lit("http://x.org/"), "source"))
+    return warc.write_warc(pages, f"{shared_folder(d.sparkSession)}/warc-{uuid.uuid4().hex}", roll=100_000).withColumnRenamed("page_id", "doc_id")
+
+
+ONE_FOR_EACH = {"op1", "op3", "op4", "op5", "op6", "op8", "op10"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)

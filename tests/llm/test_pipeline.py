@@ -107,3 +107,42 @@ def test_packing(stages):
 
 def test_run_is_the_chain(spark, sf, stages):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == Counter(tuple(r) for r in stages[-1].collect())
+
+
+def _folder(path, docs, labels):
+    docs.coalesce(1).write.parquet(f"{path}/documents.parquet")
+    labels.coalesce(1).write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_hard_cases_through_the_chain(spark, messy, labels, tmp_path, kind):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns, and ids that are no numbers."""
+    sf = _folder(tmp_path / "in", messy.withColumn("doc_id", messy["doc_id"].cast(kind)), labels)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, kinds = docs, docs.dtypes
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, before, sf)
+        after.write.parquet(f"{tmp_path}/{i}")
+        after = spark.read.parquet(f"{tmp_path}/{i}")
+        if i < 4:
+            assert after.dtypes == kinds
+            assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
+            before = after
+    assert all(r["text"] and r["text"].split() for r in before.collect())
+    want = Counter()
+    for r in before.collect():
+        want[r["doc_id"]] += len(r["text"].split())
+    got = Counter()
+    for r in after.collect():
+        got[r["doc_id"]] += r["n"]
+    assert got == want and sum(want.values()) > 0
+
+
+def test_empty_tables_through_the_chain(spark, messy, nothing, labels, tmp_path):
+    assert corpus_pipeline.run(spark, _folder(tmp_path / "none", nothing, labels)).count() == 0
+    assert corpus_pipeline.run(spark, _folder(tmp_path / "nor", nothing, labels.limit(0))).count() == 0
+    sf = _folder(tmp_path / "unlabelled", messy, labels.limit(0))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = corpus_pipeline.STAGES[1][1](spark, corpus_pipeline.STAGES[0][1](spark, docs, sf), sf)
+    assert Counter(r["text"] for r in left.collect()) == Counter(r["text"] for r in docs.collect() if r["text"] and r["text"].split())
