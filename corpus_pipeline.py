@@ -1,7 +1,12 @@
 """A corpus pipeline: quality classifier, quality rules, near-duplicate removal, source mixing, packing.
 
 Each stage is called with the documents that the stage before it left.  All but the last return the columns of
-documents; the last returns windows.  Models are fitted on the labelled rows of the documents table itself.
+documents, extra ones with clashing names included; the last returns windows.  Models are fitted on the labelled rows of
+the documents table itself.
+
+Defined results: ids may be of any type.  A null, empty or blank text is rejected by the first stage.  A null doc_id is
+judged by its text like any other, is never a near copy, and takes part in mixing and packing as a value.  Of repeated rows near-duplicate
+removal keeps one.  An empty table gives no windows; without labels the first two stages reject blank texts alone.
 """
 
 from __future__ import annotations
