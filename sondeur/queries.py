@@ -564,6 +564,17 @@ def src_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("path", "doc_no", F.array_join(F.transform("zones", lambda z: F.concat(z["field"], F.lit("="), z["text"])), ";").alias("zones"))
 
 
+@query("SELECT 'n' || n_nationkey || '.pdf' AS path, n_name || chr(10) || '(' || n_regionkey || ')' AS body FROM nation")
+def src_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small PDF a nation."""
+    folder = fresh(spark, "pdf")
+    for k, name, region in _nations(spark, sf_dir):
+        shown = f"BT /F1 12 Tf ({name}) Tj T* (\\({region}\\)) Tj ET"
+        put(spark, f"{folder}/n{k}.pdf", f"%PDF-1.4\n1 0 obj\n<< /Type /Page /Contents 2 0 R >>\nendobj\n2 0 obj\n<< /Length {len(shown)} >>\nstream\n{shown}\nendstream\nendobj\n")
+    docs = load_folder(spark, folder)
+    return docs.select("path", F.filter("zones", lambda z: z["field"] == "body")[0]["text"].alias("body"))
+
+
 _WITH_LINKS = "nat AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)"
 
 

@@ -23,6 +23,7 @@ from ..config import LINK_FIELD
 from ..operators.index import SEPARATION, ZONE
 from ..storage import stored
 from .html import DEFAULT_EXCLUDED, DEFAULT_RULES, Rule, html_zones, path_zone
+from .pdf import pdf_text
 
 _KIND = pa.list_(pa.struct([("field", pa.string()), ("text", pa.string()), ("separation", pa.int32())]))
 
@@ -176,23 +177,14 @@ def json_column(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFra
 
 
 def pdf_files(files: DataFrame, name: str) -> DataFrame:
-    """Text of PDFs, where a library for them is installed; otherwise, as for broken files, an empty text."""
+    """Text of PDFs; a broken file is an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        try:
-            from pypdf import PdfReader
-        except ImportError:
-            PdfReader = None  # noqa: N806
         for batch in batches:
-            zones = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    text = "\n".join(p.extract_text() for p in PdfReader(io.BytesIO(content)).pages) if PdfReader else ""
-                except Exception:  # a broken file is an empty document
-                    text = ""
-                zones.append([{"field": "_relative_fp", "text": path, "separation": SEPARATION}, {"field": name, "text": text, "separation": SEPARATION}])
+            zones = [
+                [{"field": "_relative_fp", "text": path, "separation": SEPARATION}, {"field": name, "text": pdf_text(content), "separation": SEPARATION}]
+                for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * len(zones), pa.int32()), pa.array(zones, _KIND)], ["path", "doc_no", "zones"])
 
     return files.where("ext = 'pdf'").select("path", "content").mapInArrow(run, f"path string, doc_no int, zones array<{ZONE}>")

@@ -1,13 +1,15 @@
 """Analyzers, against small vectors and against each other."""
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sondeur.config import FieldConfig, IndexConfig
 from sondeur.functions import folding
-from sondeur.functions.analysis import Analyzer
-from sondeur.functions.stemmer import english, stemmer
-from sondeur.operators.index import build_index, build_postings, tokens
+from sondeur.functions.analysis import Analyzer, analyzer_of, register
+from sondeur.functions.stemmer import STEMMERS, english, stemmer
+from sondeur.operators.index import build_index, build_postings, one_zone, tokens
 
 
 def config(**kw):
@@ -37,6 +39,42 @@ def test_stems(word, stem):
     assert english(word) == stem
 
 
+@pytest.mark.parametrize(
+    ("language", "pairs"),
+    [
+        ("german", "aufeinanderfolgenden aufeinanderfolg kategorischen kategor kater kat auffallend auffall auffassung auffass hauses haus ergebnisse ergebnis freundlichkeiten freundlich katzen katz aufgegebenen aufgegeb"),
+        ("french", "continuellement continuel continuait continu continuation continu majestueusement majestu majestueux majestu mainmise mainmis maisons maison chevaux cheval contrainte contraint nationalement national abandonner abandon"),
+        ("spanish", "cheques chequ chicas chic torneos torne chicharrones chicharron tortugas tortug rapidamente rapid nacionalidades nacional haciendo hac tornado torn comprarlo compr actividades activ"),
+        ("swedish", "jaktkarlarne jaktkarl jakthundar jakthund kloka klok klokaste klok klockan klockan"),
+        ("danish", "indtage indtag understreger understreg undersoger undersog hustruer hustru indtraengende indtraeng"),
+        ("norwegian", "havnedistriktene havnedistrikt opningens opning havnemyndighetene havnemynd oppgaver oppgav forsvarte forsvart"),
+        ("dutch", "lichamelijkheden licham lichamelijk licham lichaamsziek lichaamsziek opgingen opging opgevreten opgevret katten kat"),
+    ],
+)
+def test_stems_of_other_languages(language, pairs):
+    words = pairs.split()
+    assert [stemmer(language)(w) for w in words[::2]] == words[1::2]
+
+
+@pytest.mark.parametrize("language", sorted(STEMMERS))
+@given(st.text("abcdefghijklmnopqrstuvwxyz", max_size=12))
+def test_stems_shorten_or_keep(language, word):
+    assert len(stemmer(language)(word)) <= len(word) + 1
+
+
+def test_an_analyzer_of_ones_own(spark):
+    class Halves(Analyzer):
+        def term(self, word):
+            return word[: (len(word) + 1) // 2]
+
+    register("halves", Halves)
+    rows = spark.createDataFrame([(1, "abcd efg"), (2, "abxy")], "doc_id bigint, text string").select("doc_id", one_zone("body", F.col("text")).alias("zones"))
+    index = build_index(rows, config(analyzer="halves"))
+    assert {r["term"]: r["df"] for r in index.dictionary.collect()} == {"ab": 2, "ef": 1}
+    with pytest.raises(ValueError):
+        analyzer_of(config(analyzer="unheard"))
+
+
 def test_other_stemmers_are_refused():
     with pytest.raises(ValueError):
         stemmer("klingon")

@@ -8,6 +8,8 @@ from sondeur.config import FieldConfig, IndexConfig, SearchOptions
 from sondeur.operators import incremental, results
 from sondeur.operators.index import build_index, one_zone
 from sondeur.operators.search import search
+from sondeur.sources.files import load_folder, number_documents
+from sondeur.storage import remove
 from sondeur.streaming.maintain import maintain
 
 TEXTS = [("title", "T"), ("body", "intro apple"), ("body", "  "), ("body", "more"), ("headingLink", "h"), ("heading", "Apple pie"), ("body", "a pear and an apple"), ("heading", "Bare"), ("link", "x")]
@@ -116,6 +118,67 @@ def test_maintained_equals_rebuilt(spark, tmp_path):
     assert scores(incremental.read(spark, f"{tmp_path}/compact", CONFIG)) == scores(incremental.read(spark, folder, CONFIG))
 
 
+def test_an_update_is_seen_whole_or_not_at_all(spark, tmp_path):
+    folder = f"{tmp_path}/kept"
+    incremental.create(folder, collection(spark, [(1, "apple", "x"), (2, "pear", "y")]), CONFIG)
+    before = scores(incremental.read(spark, folder, CONFIG))
+    incremental.append(folder, collection(spark, [(1, "pear apple pear", "x"), (3, "pear", "x")]), CONFIG, 1)
+    after = scores(incremental.read(spark, folder, CONFIG))
+    remove(spark, f"{folder}/commits/segment=1")  # as if it had died before its commit
+    assert scores(incremental.read(spark, folder, CONFIG)) == before != after
+    incremental.append(folder, collection(spark, [(1, "pear apple pear", "x"), (3, "pear", "x")]), CONFIG, 1)
+    index = incremental.read(spark, folder, CONFIG)
+    assert scores(index) == after and incremental.committed(spark, folder) == [0, 1]
+    plan = index.scan(["pear"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_folder_and_its_index(spark, tmp_path):
+    source, folder = tmp_path / "source", f"{tmp_path}/index"
+    (source / "sub").mkdir(parents=True)
+    config = IndexConfig(fields=(FieldConfig("body", 1.0), FieldConfig("title", 2.0), FieldConfig("_relative_fp")))
+    put = lambda name, text: (source / name).write_text(text)
+    put("a.txt", "apple")
+    put("b.csv", "title,body\nx,apple\ny,pear\n")
+    put("c.json", '{"body": "plum", "_add_files": "sub/later.txt"}')
+    put("other.bin", "x")
+
+    def again():
+        counts = incremental.update_folder(spark, str(source), folder, config)
+        index = incremental.read(spark, folder, config)
+        want = build_index(number_documents(load_folder(spark, str(source))).select("doc_id", "zones"), config)
+        texts = lambda i: sorted(str([tuple(x) for x in r["texts"]]) for r in i.docs.collect())
+        assert texts(index) == texts(want) and index.stats == want.stats
+        assert {tuple(r) for r in index.dictionary.collect()} == {tuple(r) for r in want.dictionary.collect()}
+        found = lambda i: sorted(round(s, 9) for s in scores(i, "apple pear plum late ").values())
+        assert found(index) == found(want)
+        return counts
+
+    assert again() == {"added": 4}
+    assert again() == {"same": 4}
+    put("a.txt", "apple apple pear")
+    put("b.csv", "title,body\nx,apple\n")
+    put("d.txt", "pear")
+    assert again() == {"same": 2, "changed": 2, "added": 1}
+    put("sub/later.txt", "late plum")  # c.json had named it before it was there
+    assert again() == {"same": 4, "changed": 1, "added": 1}
+    put("sub/later.txt", "later plum")
+    (source / "d.txt").unlink()
+    assert again() == {"same": 3, "changed": 2, "deleted": 1}
+    assert incremental.committed(spark, folder) == [0, 1, 2, 3]
+    config = IndexConfig(fields=config.fields, max_term_len=5)  # another configuration: all is built anew
+    assert again() == {"added": 5} and incremental.committed(spark, folder) == [0]
+
+
+def test_a_stream_keeps_one_of_equal_versions(spark, tmp_path):
+    folder, source = f"{tmp_path}/kept", f"{tmp_path}/source"
+    incremental.create(folder, collection(spark, [(1, "apple", "x")]), CONFIG)
+    rows = collection(spark, [(1, "pear", "x"), (1, "pear pear", "x"), (2, "apple", "x"), (2, "apple", "x")]).withColumn("version", F.lit(1))
+    rows.coalesce(1).write.parquet(source)
+    maintain(spark.readStream.schema(rows.schema).parquet(source), folder, CONFIG, f"{tmp_path}/checkpoint", available_now=True).awaitTermination(120)
+    assert sorted(r["doc_id"] for r in incremental.read(spark, folder, CONFIG).docs.collect()) == [1, 2]
+
+
 def test_changes(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "path string, hash bigint")
     new = spark.createDataFrame([("b", 1), ("c", 2), ("d", 1)], "path string, hash bigint")

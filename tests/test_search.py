@@ -1,5 +1,6 @@
 """Retrieval, scoring and the rest of the engine over small hand-made collections."""
 
+import json
 import math
 
 import pytest
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sondeur.config import DEFAULT_FIELDS, FieldConfig, IndexConfig, SearchOptions, merged_fields, preset
 from sondeur.operators import proximity
-from sondeur.operators.index import Index, build_index, frequencies, number, zones_of
-from sondeur.operators.search import facet_values, search, ticked
+from sondeur.operators.index import Index, build_index, configuration, frequencies, manifest, number, read_index, zones_of
+from sondeur.operators.search import days, facet_values, search, ticked
 
 FIELDS = (FieldConfig("title", 0.3), FieldConfig("body", 0.3), FieldConfig("heading", 0.3))
 CONFIG = IndexConfig(fields=FIELDS)
@@ -149,6 +150,34 @@ def test_a_stored_index_answers_alike(shop, tmp_path):
     assert "PartitionFilters: [" in plan and "PushedFilters: [IsNotNull(term), " in plan
 
 
+def test_an_index_describes_itself(shop, spark, tmp_path):
+    _, config, index = shop
+    index.write(f"{tmp_path}/index")
+    again = read_index(spark, f"{tmp_path}/index", remember=True)
+    assert again.config == config and json.loads(manifest(config))["id"] != json.loads(manifest(config))["id"]
+    with pytest.raises(ValueError):
+        configuration(json.dumps(json.loads(manifest(config)) | {"version": 1}))
+    with pytest.raises(FileNotFoundError):
+        read_index(spark, f"{tmp_path}/nothing")
+    # postings and corrections that are remembered: the last few
+    for text in ("apple", "+the -sky", "sweet appel ", "red green blue ", "today clear pears "):
+        assert {r["doc_id"] for r in search(again, text).matches.collect()} == {r["doc_id"] for r in search(index, text).matches.collect()}
+    assert len(again.held) == 8 and list(again.corrected) == ["appel"] and not index.held
+    for k in range(10):
+        again.correction(f"w{k}", lambda: None)
+    assert list(again.corrected) == [f"w{k}" for k in range(2, 10)]
+
+
+def test_days():
+    assert days("1970-01-02", "1970-01-02") == (86_400, 172_799) and days(None, None) == (None, None) and days("1969-12-31", None) == (-86_400, None)
+
+
+def test_folds_and_complements_are_planned_once(shop):
+    _, _, index = shop
+    plan = search(index, "the apple sweet ").matches._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
 def test_identities(shop):
     _, _, index = shop
     docs = lambda text: {r["doc_id"] for r in search(index, text, SearchOptions(max_suffix=0)).matches.collect()}

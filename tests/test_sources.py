@@ -1,11 +1,13 @@
 """Loaders: pages, tables, JSON, text, linked files."""
 
 import json
+import zlib
 
 import pytest
 
-from sondeur.sources.files import Loaders, json_records, load_folder, number_documents, walk
+from sondeur.sources.files import Loaders, csv_rows, json_records, load_folder, number_documents, walk
 from sondeur.sources.html import Rule, matches, page_zones
+from sondeur.sources.pdf import pdf_text
 
 
 def test_separating_elements():
@@ -73,6 +75,78 @@ def test_a_folder(spark, folder):
     assert linked["one.json"] == ["sub/more.json", "extra.txt", "sub/missing.txt"]
 
 
+def test_selectors():
+    page = "<body>a<div id=d><section><p>b</p></section><p lang=en-GB>c</p></div><h2>H</h2><p>d</p><p class='x y'>e</p><span>f</span><ul><li>g<li>h<ol><li>i</ol></ul>"
+
+    def picked(selector, excluded=""):
+        return [t for f, t, _ in page_zones(page, (Rule("body", "body"), Rule(selector, "hit", priority=1)), excluded) if f == "hit"]
+
+    assert picked("div p") == ["b", "c"] and picked("div > p") == ["c"] and picked("section>p,ul > li") == ["b", "g", "h", "i"]
+    assert picked("h2 + p") == ["d"] and picked("h2 ~ p") == ["d", "e"] and picked("p.x.y") == ["e"] and picked("p:not(.x) ~ span") == ["f"]
+    assert picked("li:first-child") == ["g", "i"] and picked("body p:first-of-type") == ["b", "c", "d"] and picked("#d *") == ["b", "c"]
+    assert picked('[lang|="en"]') == ["c"] and picked('[class~=y]') == ["e"] and picked('[class^="x "]') == ["e"] and picked("[class$=y]") == ["e"] and picked("[class*=' ']") == ["e"]
+    assert [t for _, t, _ in page_zones("<body>a<div><p>b</p>c</div><p>d</p>", (Rule("body", "body"),), "div > p")] == ["ac", "d"]
+    for bad in ("p >", "", "p:hover", "..x"):
+        with pytest.raises(ValueError):
+            matches(bad, "p", {})
+
+
+def _pdf(*pages, deflate=False, cmap=None):
+    """A file of pages of content streams, the kids of two nodes of the page tree."""
+    made = []
+
+    def put(head, data=None):
+        if data is not None:
+            data = zlib.compress(data) if deflate else data
+            head = b"<< " + head + (b" /Filter /FlateDecode" if deflate else b"") + b" /Length %d >>\nstream\n" % len(data) + data + b"\nendstream"
+        made.append(head)
+        return len(made)
+
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"
+    if cmap:
+        font = b"<< /Type /Font /Subtype /Type0 /ToUnicode %d 0 R >>" % put(b"", cmap)
+    font = put(font)
+    contents = [put(b"", p) for p in pages]
+    root = len(made) + len(pages) + 1
+    kids = [put(b"<< /Type /Page /Parent %d 0 R /Contents [%d 0 R] >>" % (root, c)) for c in contents]
+    put(b"<< /Type /Pages /Kids [%s] /Count %d /Resources << /Font << /F1 %d 0 R >> >> >>" % (b" ".join(b"%d 0 R" % k for k in reversed(kids)), len(kids), font))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, x) for i, x in enumerate(made, 1)) + b"trailer << /Root 1 0 R >>"
+
+
+def test_pdf():
+    first = b"BT /F1 12 Tf 72 700 Td (Second \\(page\\) \\351t\\351) Tj 0 -14 Td [(spa) -20 (ced) -300 (out)] TJ ET"
+    other = b"BT /F1 12 Tf (First) Tj T* <68656C6C6F> Tj (next) ' ET BT 1 0 0 1 72 50 Tm (end) Tj ET"
+    want = "First\nhello\nnext\nend\nSecond (page) \xe9t\xe9\nspaced out"
+    assert pdf_text(_pdf(first, other)) == pdf_text(_pdf(first, other, deflate=True)) == want
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <4E2D> <0002> <00660069> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    assert pdf_text(_pdf(b"BT /F1 9 Tf <000100020010> Tj <00110012> Tj ET", deflate=True, cmap=cmap)) == "\u4e2dfiabc"
+    assert pdf_text(b"") == pdf_text(b"no pdf") == pdf_text(_pdf(first) + b"/Encrypt") == ""
+
+
+def test_csv_lines(spark, tmp_path):
+    text = 'title,body\r\n#c1\r\na\u2028b\x85c\x0cd\x0be,"two\n#no comment\r\nlines"\r\n\r\n"#quoted",x\r\n#last'
+    assert list(csv_rows(text, comment="#")) == [["title", "body"], ["a\u2028b\x85c\x0cd\x0be", "two\n#no comment\r\nlines"], ["#quoted", "x"]]
+    assert list(csv_rows("a;'it''s';'b;c'", sep=";", quote="'")) == [["a", "it's", "b;c"]]
+    (tmp_path / "big.csv").write_text("title,body\n" + "".join(f"t{i},b{i}\n" for i in range(25_001)))
+    docs = load_folder(spark, str(tmp_path))
+    rows = docs.select("doc_no", docs["zones"][0]["text"]).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, f"t{i}") for i in range(25_001)]
+
+
+def test_links_however_deep_and_round(spark, tmp_path):
+    for k in range(25):
+        (tmp_path / f"{k:02d}.json").write_text(json.dumps({"body": f"b{k}", "_add_files": f"{k + 1:02d}.json"}))
+    (tmp_path / "25.json").write_text(json.dumps({"body": "b25", "_add_files": "q/r/s/t/u/v/../../../../../../00.json"}))
+    docs = {r["path"]: [z["text"] for z in r["zones"] if z["field"] == "body"] for r in load_folder(spark, str(tmp_path)).collect()}
+    assert len(docs) == 26 and docs["00.json"] == [f"b{k}" for k in range(26)] and docs["25.json"] == ["b25", *(f"b{k}" for k in range(25))]
+
+
+def test_linked_files_may_be_excluded(spark, folder):
+    docs = load_folder(spark, folder, include=["*.json"], exclude=["sub/*"]).collect()
+    assert sorted(r["path"] for r in docs) == ["loop.json", "one.json"]
+    assert [z["text"] for r in docs for z in r["zones"] if r["path"] == "one.json" and z["field"] == "body"] == ["jay", "more1", "more2", "extra text"]
+
+
 def test_include_and_exclude(spark, folder):
     names = lambda **k: sorted(r["path"] for r in walk(spark, folder, **k).select("path").collect())
     assert names(include=["*.json"]) == ["loop.json", "one.json", "sub/more.json"]
