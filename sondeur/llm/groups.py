@@ -64,7 +64,8 @@ def estimates(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint, alike double")
+    pairs = stored(pairs, "pairs")
+    return small(pairs, pairs.count()).join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint, alike double")
 
 
 def buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +236,10 @@ def _settled(shared: DataFrame, nodes: DataFrame, roots: DataFrame, tested: Data
         rooted = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         live = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
         rest = stored(rooted.join(live, "key"), "rest")
-        few = _blocks(rest.where(F.col("n") <= BLOCK).join(nodes, "node"), width, low, high, best)
-        many = stored(rest.where(F.col("n") > BLOCK).select("node", "root").distinct().join(nodes, "node"), "members")
-        if not many.isEmpty():
+        few = _blocks(small(rest.where(F.col("n") <= BLOCK), rest.count()).join(nodes, "node"), width, low, high, best)
+        many = None
+        if not rest.where(F.col("n") > BLOCK).isEmpty():
+            many = stored(rest.where(F.col("n") > BLOCK).select("node", "root").distinct().join(nodes, "node"), "members")
             close, often = rare_pairs(many, width, low)
             few = few.unionByName(estimates(close, many, width).where(F.col("alike") >= low)).unionByName(_blocks(_tiles(stored(often, "often")), width, low, high, best))
         found = stored(few.groupBy("a", "b").agg(F.max("alike").alias("alike")), "crossing")
