@@ -4,9 +4,9 @@ Texts are read as words of letters and digits in lower case (in scripts without
 one).  Documents are related if they share passages: their similarity is the Jaccard similarity of their runs of
 SHINGLE words, estimated by BINS one-permutation minima.  KEYS of them are each a key of its own, so that one equal minimum
 makes a candidate (a pair at 0.05 is found with probability 0.87, one at 0.1 with 0.99).  Equal word sequences are one
-node.  Of the nodes that share a key all pairs are compared.  A bucket of more than LEAF is cut into chunks of CUT by a hash, whose
-pairs are all compared, and its members are also parted by their next minima, again and again until the parts are of
-LEAF at most, so that nearer ones than the rest of the bucket meet.  Each node keeps its NEAREST neighbours.
+node.  Of the nodes that share a key all pairs are compared.  Buckets of more than LEAF are compared in tiles of about
+TILE by TILE nodes; large buckets linked by common nodes are taken as one group where that makes fewer pairs than each
+bucket alone.  Each node keeps its NEAREST neighbours, the nearest ones of all that it shares a key with.
 
 In each connected component a path starts at the unvisited node of lowest degree and goes on to the most similar
 unvisited neighbour until there is none; then the next path starts.  A component of more than MOST nodes is parted
@@ -44,8 +44,8 @@ WINDOW = 2048
 SHINGLE, BINS, KEYS = 5, 64, 40
 #: How many neighbours are kept of each node.
 NEAREST = 8
-#: Buckets of more nodes than LEAF are cut into chunks of about CUT and parted, at most DEPTH times.
-LEAF, CUT, DEPTH = 1024, 256, 6
+#: Buckets of more nodes than LEAF are compared in tiles of about TILE nodes a side.
+LEAF, TILE = 1024, 4096
 #: Components of more nodes are parted, by edges of at least these similarities in turn.
 MOST, LEVELS = 20_000, (0.0, 0.08, 0.2, 0.45)
 
@@ -127,29 +127,81 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(like.round(6))], ["u", "v", "alike"])
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many registers of each row of x and each row of y agree."""
+    xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(0, len(x), 64):
+        part = out[k : k + 64]
+        for one, other in zip(xt[:, k : k + 64], yt, strict=True):
+            part += one[:, None] == other[None]
+    return out
+
+
+def _highest(agree: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's NEAREST highest values above 0.  Of equal ones those after column row + offset are taken, round and round."""
+    n, parts, most = agree.shape[1], [], min(NEAREST, agree.shape[1])
+    for k in range(0, len(agree), 256):
+        block = agree[k : k + 256].astype(np.float32)
+        rows = np.arange(k, k + len(block))[:, None]
+        top = np.argpartition(((np.arange(n)[None] - rows - offset) % n).astype(np.float32) / n - block, most - 1, axis=1)[:, :most]
+        parts.append((np.repeat(rows[:, 0], most), top.ravel()))
+    row, col = (np.concatenate(p) for p in zip(*parts, strict=True))
+    good = agree[row, col] > 0
+    return row[good], col[good]
+
+
+def _near_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, alike): of rows (key, side, node, sig), sorted, each node's nearest ones on its tile's other side, or in a tile of one side."""
+    for batch in buckets(batches):
+        key, side, node = (batch.column(k).to_numpy() for k in range(3))
+        sig = registers(batch.column(3), BINS)
+        at = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            cut = s + int(np.searchsorted(side[s:e], 1))
+            if s < cut < e:
+                agree = agreement(sig[s:cut], sig[cut:e])
+                (a, b), (c, d) = _highest(agree, 0), _highest(np.ascontiguousarray(agree.T), 0)
+                u, v, like = np.append(s + a, cut + c), np.append(cut + b, s + d), np.append(agree[a, b], agree[d, c])
+            else:
+                agree = agreement(sig[s:e], sig[s:e])
+                np.fill_diagonal(agree, 0)
+                a, b = _highest(agree, 1)
+                u, v, like = s + a, s + b, agree[a, b]
+            yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(corrected(like / BINS).round(6))], ["u", "v", "alike"])
+
+
+def _in_tiles(large: DataFrame, sig: DataFrame) -> DataFrame:
+    """(u, v, alike): the nearest ones of the nodes of large buckets (key, node, size), over all pairs of each bucket."""
+    least = stored(large.groupBy("node").agg(F.min("key").alias("first")), "least")
+    links = large.join(least, "node").where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
+    of = stored(components(links).select(F.col("node").alias("key"), "root"), "linked")
+    member = stored(least.join(of.withColumnRenamed("key", "first"), "first", "left").select(F.coalesce("root", "first").alias("key"), "node"), "member")
+    single = large.select("key", "size").distinct().join(of, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    work = single.groupBy("root").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"))
+    groups = member.groupBy("key").agg(F.count("*").alias("n")).join(work.withColumnRenamed("root", "key"), "key")
+    whole = stored(groups.where(F.col("n").cast("double") * F.col("n") <= F.col("apart")).select("key", "n"), "whole")
+    alone = single.join(whole.select(F.col("key").alias("root")), "root", "left_anti").select("key")
+    sets = member.join(whole, "key").select("key", "node", "n").unionByName(large.join(alone, "key", "left_semi").select("key", "node", F.col("size").alias("n")))
+    across = F.ceil(F.col("n") / TILE)
+    own = sets.withColumn("own", F.pmod(F.xxhash64("node", F.lit("tile")), across)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), across - 1)))
+    tiles = own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
+    return tiles.join(sig, "node").select("key", "side", "node", "sig").repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(_near_tiles, "u bigint, v bigint, alike double")
+
+
 def neighbours(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
     """(u, v, alike), u < v: the edges of the nearest-neighbour graph of nodes (node, bands) with sigs (node, sig), which may repeat."""
-    bands, sig, depth, found = nodes.select("node", F.posexplode("bands").alias("at", "key")), None, 0, None
-    done: list[DataFrame] = []
-    while True:
-        shared = stored(bucketed(bands).drop("head"), "shared")
-        sig = signed(sigs, shared) if sig is None else sig
-        large = shared.where(F.col("size") > LEAF)
-        key = F.when(F.col("size") <= LEAF, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / CUT))))
-        compared = shared.select(key.alias("key"), "node").join(sig, "node").select("key", "node", "sig").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near, "u bigint, v bigint, alike double")
-        found = compared if found is None else found.unionByName(compared)
-        done.append(shared)
-        depth += 1
-        if depth == DEPTH or large.isEmpty():
-            break
-        following = F.expr(f"substring(sig, CAST(2 * ((at + {depth}) % {BINS}) + 1 AS INT), 2)")
-        bands = stored(large.join(sig, "node").select("node", "at", F.xxhash64("key", following).alias("key")), "parted")
-        done.append(bands)
-    # a node has NEAREST neighbours at most from each of its buckets, KEYS of them at each depth, so that its set is small
+    shared = stored(bucketed(nodes.select("node", F.explode("bands").alias("key"))).drop("head"), "shared")
+    sig = signed(sigs, shared)
+    found = shared.where(F.col("size") <= LEAF).join(sig, "node").select("key", "node", "sig").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near, "u bigint, v bigint, alike double")
+    large = shared.where(F.col("size") > LEAF)
+    if not large.isEmpty():
+        found = found.unionByName(_in_tiles(large, sig))
+    # a node has NEAREST neighbours at most from each of its buckets and tiles
     by_node = found.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("alike")).alias("far"), F.xxhash64("u", "v").alias("h"), "v"))), 1, NEAREST).alias("near"))
     nearest = by_node.select("u", F.explode("near").alias("n")).select("u", "n.v", (-F.col("n.far")).alias("alike"))
     graph = stored(nearest.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("alike").alias("alike")), "graph")
-    drop(*done, sig)
+    drop(shared, sig)
     return graph
 
 

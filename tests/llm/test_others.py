@@ -209,6 +209,26 @@ def test_nearest_neighbours_in_large_buckets(spark, kind):
     assert hit / want >= 0.9
 
 
+@pytest.mark.parametrize("tile", [4096, 700])
+def test_nearest_in_large_buckets_are_the_nearest_of_all(spark, monkeypatch, tile):
+    """Two large buckets with common nodes, and one apart: no node misses a nearer one than it has."""
+    monkeypatch.setattr(packing, "TILE", tile)
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 4, (4500, packing.BINS)).astype(np.uint16)
+    keys = [{1} if i < 1000 else {1, 2} if i < 2000 else {2} if i < 3000 else {3} for i in range(4500)]
+    nodes = spark.createDataFrame([(i, sig[i].tobytes(), sorted(keys[i])) for i in range(4500)], "node bigint, sig binary, bands array<bigint>")
+    got = defaultdict(set)
+    for r in packing.neighbours(nodes, nodes).collect():
+        got[r["u"]].add(r["v"])
+        got[r["v"]].add(r["u"])
+    for u in range(0, 4500, 10):
+        agree = (sig == sig[u]).sum(axis=1)
+        mine = [v for v in range(4500) if v != u and keys[u] & keys[v]]
+        want = sorted((int(agree[v]) for v in mine), reverse=True)[: packing.NEAREST]
+        own = sorted((int(agree[v]) for v in got[u]), reverse=True)[: packing.NEAREST]
+        assert all(x >= y for x, y in zip(own, want, strict=True))
+
+
 def test_large_components_are_parted(spark):
     rng = random.Random(13)
     edges = [(i, i + 1, 0.05 if i % 10 == 9 else 0.3) for i in range(300)] + [(1000, 1000 + i, 0.02) for i in range(1, 200)]
