@@ -9,9 +9,8 @@ TILE by TILE nodes; large buckets linked by common nodes are taken as one group
 bucket alone.  Each node keeps its NEAREST neighbours, the nearest ones of all that it shares a key with.
 
 In each connected component a path starts at the unvisited node of lowest degree and goes on to the most similar
-unvisited neighbour until there is none; then the next path starts.  A component of more than MOST nodes is parted
-first: by its edges of at least the next of LEVELS, and what holds together beyond the last, or falls apart, by a hash into
-parts of about MOST; edges between parts are left out.  So no task walks more than about MOST nodes.
+unvisited neighbour until there is none; then the next path starts.  A component is walked whole, along all its edges,
+however large it is: in one task, which holds 8 bytes for each end of an edge and about 40 for each node.
 
 Paths are laid end to end: components by language, source and hash, in each its paths in the order of their start.
 The row of documents is cut into windows of WINDOW tokens (words between white space); a document that crosses a
@@ -26,7 +25,6 @@ are broken by hash and then doc_id.  Columns beside doc_id, text, lang and sourc
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +44,6 @@ SHINGLE, BINS, KEYS = 5, 64, 40
 NEAREST = 8
 #: Buckets of more nodes than LEAF are compared in tiles of about TILE nodes a side.
 LEAF, TILE = 1024, 4096
-#: Components of more nodes are parted, by edges of at least these similarities in turn.
-MOST, LEVELS = 20_000, (0.0, 0.08, 0.2, 0.45)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -205,79 +201,83 @@ def neighbours(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
     return graph
 
 
-def parted(graph: DataFrame, most: int = MOST) -> DataFrame:
-    """(node, part) of the nodes of graph (u, v, alike): components, or parts of them of about `most` nodes at most."""
-    edges, above, out = graph, None, None
-
-    def split(rows: DataFrame, root: str) -> DataFrame:
-        sizes = rows.groupBy(root).agg(F.count("*").alias("n"))
-        return rows.join(sizes, root).select("node", F.xxhash64(root, F.lit("split"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most))).alias("part"))
-
-    for at, least in enumerate(LEVELS):
-        held = edges.where(F.col("alike") >= least) if least else edges
-        roots = stored(components(held.select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
-        large = stored(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most), "large")
-        if above is not None:  # nodes that keep no edge of this level
-            loose = split(above.join(roots.select("node"), "node", "left_anti"), "root")
-            out = out.unionByName(loose)
-        n = large.count()
-        whole = roots.join(small(large, n), "root", "left_anti") if n else roots
-        whole = whole.select("node", F.xxhash64("root", F.lit(at)).alias("part"))
-        out = whole if out is None else out.unionByName(whole)
-        if not n:
-            return stored(out, "parts")
-        above = stored(roots.join(small(large, n), "root", "left_semi").select("node", "root"), "above")
-        edges = stored(held.join(above.select(F.col("node").alias("u")), "u", "left_semi"), "edges")
-    return stored(out.unionByName(split(above, "root")), "parts")
+def walked(begin: np.ndarray, to: np.ndarray, alike: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, path) in the order of the walk: paths start at the next unvisited node of `order`.
+
+    Nodes are numbers from 0 on; node u's neighbours are to[begin[u] : begin[u + 1]].  Of equally similar ones that of
+    lowest degree, then least number, is taken.  Each node's neighbours are read once.
+    """
+    n, at = len(order), 0
+    steps, path = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    seen, first, near, like, out, of = bytearray(n), memoryview(begin), memoryview(to), memoryview(alike), memoryview(steps), memoryview(path)
+    number = -1
+    for k in range(0, n, 1 << 16):
+        for u in order[k : k + (1 << 16)].tolist():
+            if seen[u]:
+                continue
+            number += 1
+            while u >= 0:
+                seen[u] = 1
+                out[at], of[at] = u, number
+                at += 1
+                best, most, degree = -1, -1.0, 0
+                for j in range(first[u], first[u + 1]):
+                    v = near[j]
+                    if seen[v] or like[j] < most:
+                        continue
+                    d = first[v + 1] - first[v]
+                    if like[j] > most or (d, v) < (degree, best):
+                        best, most, degree = v, like[j], d
+                u = best
+    return steps, path
 
 
 def walk(edges: dict[int, list[tuple[float, int]]]) -> list[tuple[int, int]]:
     """(node, path) in the order of the walk: paths start at the unvisited node of lowest degree, then least number."""
-    heap = [(len(out), u) for u, out in edges.items()]
-    heapq.heapify(heap)
-    order = {u: sorted((-alike, len(edges[v]), v) for alike, v in out) for u, out in edges.items()}
-    seen: set[int] = set()
-    steps, path = [], -1
-    while heap:
-        _, u = heapq.heappop(heap)
-        if u in seen:
+    nodes = np.array(sorted(edges), np.int64)
+    begin = np.append(0, np.cumsum([len(edges[u]) for u in nodes.tolist()]))
+    ends = [e for u in nodes.tolist() for e in edges[u]]
+    to = np.searchsorted(nodes, np.array([v for _, v in ends], np.int64)).astype(np.int32)
+    steps, path = walked(begin, to, np.array([x for x, _ in ends], float), np.argsort(np.diff(begin), kind="stable"))
+    return list(zip(nodes[steps].tolist(), path.tolist(), strict=True))
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, path, place): of rows (root, u, v, alike), each edge from both its ends, sorted by u, the walk of each root's nodes."""
+    nodes, roots, counts, to, alike = [], [], [], [], []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        path += 1
-        at: int | None = u
-        while at is not None:
-            seen.add(at)
-            steps.append((at, path))
-            at = next((v for _, _, v in order[at] if v not in seen), None)
-    return steps
-
-
-def paths(graph: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, root, path, place): each node's part, path and place in the part's walk."""
-    of, to = (parts.select(F.col("node").alias(k), F.col("part").alias(p)) for k, p in (("u", "root"), ("v", "other")))
-    inside = graph.join(of, "u").join(to, "v").where("root = other").select("root", "u", "v", "alike")
-    # a node whose edges all lead to other parts is walked alone
-    owned = inside.unionByName(parts.select(F.col("part").alias("root"), F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("alike")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in buckets(batches):
-            root, u, v, alike = (c.to_pylist() for c in batch.columns)
-            out: list[tuple[int, int, int, int]] = []
-            i = 0
-            while i < len(root):
-                edges: dict[int, list[tuple[float, int]]] = {}
-                own = root[i]
-                while i < len(root) and root[i] == own:
-                    a, b = u[i], v[i]
-                    edges.setdefault(a, [])
-                    if a != b:
-                        edges[a].append((alike[i], b))
-                        edges.setdefault(b, []).append((alike[i], a))
-                    i += 1
-                out += [(node, own, path, k) for k, (node, path) in enumerate(walk(edges))]
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "root", "path", "place"])
-
-    return owned.repartition("root").sortWithinPartitions("root").mapInArrow(run, "node bigint, root bigint, path bigint, place bigint")
+        root, u, v, like = (c.to_numpy() for c in batch.columns)
+        new = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+        nodes.append(u[new])
+        roots.append(root[new])
+        counts.append(np.diff(np.append(new, len(u))))
+        to.append(v.copy())
+        alike.append(like.astype(np.float32))  # six digits, which this keeps apart
+    if not nodes:
+        return
+    node, root, count = (np.concatenate(x) for x in (nodes, roots, counts))
+    new = np.append(True, node[1:] != node[:-1])  # a node's edges may go on in the next batch
+    begin = np.append((np.cumsum(count) - count)[new], count.sum())
+    node, root = node[new], root[new]
+    for k, v in enumerate(to):
+        to[k] = np.searchsorted(node, v).astype(np.int32)
+    steps, path = walked(begin, np.concatenate(to), np.concatenate(alike), np.lexsort((np.diff(begin), root)))
+    root = root[steps]
+    first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+    for k in range(0, len(steps), 1 << 16):
+        part = slice(k, k + (1 << 16))
+        own = first[np.searchsorted(first, np.arange(k, min(k + (1 << 16), len(steps))), side="right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(node[steps[part]]), pa.array(root[part]), pa.array((path[part] - path[own]).astype(np.int64)), pa.array(np.arange(k, k + len(own)) - own)], ["node", "root", "path", "place"])
+
+
+def paths(graph: DataFrame) -> DataFrame:
+    """(node, root, path, place): each node's component in graph (u, v, alike), and its path and place in the component's walk."""
+    roots = stored(components(graph.select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
+    inside = graph.join(roots.withColumnRenamed("node", "u"), "u")
+    ends = inside.select("root", F.explode(F.array(F.struct("u", "v", "alike"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "alike"))).alias("end")).select("root", "end.u", "end.v", "end.alike")
+    return ends.repartition("root").sortWithinPartitions("u").mapInArrow(_walks, "node bigint, root bigint, path bigint, place bigint")
 
 
 def _same(left: str, right: str, *keys: str) -> Column:
@@ -295,13 +295,13 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = stored(sketches(docs), "sketches")
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("lang", "source")).alias("of"), F.first("bands").alias("bands")), "nodes")
     graph = neighbours(nodes, rows.where("node IS NOT NULL"))
-    steps = stored(paths(graph, parted(graph)), "paths")
+    steps = stored(paths(graph), "paths")
     heads = steps.join(nodes.select("node", "of"), "node").groupBy("root").agg(F.min("of").alias("of"))
-    walked = steps.join(heads, "root").select("node", "root", "path", "place", "of")
+    along = steps.join(heads, "root").select("node", "root", "path", "place", "of")
     own = rows.select("doc_id", "lang", "source", "n", F.coalesce("node", F.xxhash64("doc_id", F.lit("bare"))).alias("node")).groupBy("doc_id", "lang", "source", "n", "node").agg(F.count("*").alias("copies"))
     before = Window.partitionBy("node", "doc_id").orderBy("n", F.asc_nulls_first("lang"), F.asc_nulls_first("source")).rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("round", F.coalesce(F.sum("copies").over(before), F.lit(0)) + 1).withColumn("round", F.explode(F.sequence("round", F.col("round") + F.col("copies") - 1)))
-    placed = own.join(walked, "node", "left").select(
+    placed = own.join(along, "node", "left").select(
         "doc_id", "n", "node", "round", F.coalesce("root", "node").alias("root"), F.coalesce("path", F.lit(0)).alias("path"), F.coalesce("place", F.lit(0)).alias("place"),
         F.coalesce("of.lang", F.when(F.col("root").isNull(), F.col("lang"))).alias("lang"), F.coalesce("of.source", F.when(F.col("root").isNull(), F.col("source"))).alias("source"),
     )

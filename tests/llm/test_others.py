@@ -229,20 +229,28 @@ def test_nearest_in_large_buckets_are_the_nearest_of_all(spark, monkeypatch, til
         assert all(x >= y for x, y in zip(own, want, strict=True))
 
 
-def test_large_components_are_parted(spark):
+def test_large_components_are_walked_whole(spark):
+    """By definition, along weak edges too: components of 25 000 and of 400 nodes, which end in one path and in many."""
     rng = random.Random(13)
-    edges = [(i, i + 1, 0.05 if i % 10 == 9 else 0.3) for i in range(300)] + [(1000, 1000 + i, 0.02) for i in range(1, 200)]
-    graph = spark.createDataFrame(edges, "u bigint, v bigint, alike double")
-    parts = {r["node"]: r["part"] for r in packing.parted(graph, 40).collect()}
-    assert sorted(parts) == sorted({x for u, v, _ in edges for x in (u, v)})
-    sizes = Counter(parts.values())
-    assert max(sizes.values()) < 80
-    assert all(parts[u] == parts[v] for u, v, a in edges if a == 0.3)
-    steps = packing.paths(graph, packing.parted(graph, 40)).collect()
-    assert sorted(r["node"] for r in steps) == sorted(parts)
-    assert all(parts[r["node"]] == r["root"] for r in steps)
-    for root, n in sizes.items():
-        assert sorted(r["place"] for r in steps if r["root"] == root) == list(range(n))
+    edges = {(i, i + 1): 0.05 for i in range(24_999)} | {tuple(sorted(rng.sample(range(30_000, 30_400), 2))): rng.randint(1, 5) / 64 for _ in range(1500)}
+    edges |= {tuple(sorted((i, rng.randrange(25_000)))): rng.randint(1, 3) / 64 for i in rng.sample(range(25_000), 4000)}
+    edges = [(u, v, round(x, 6)) for (u, v), x in edges.items() if u != v]
+    near = defaultdict(list)
+    for u, v, x in edges:
+        near[u].append((x, v))
+        near[v].append((x, u))
+    want = {}
+    for lo, hi in ((0, 25_000), (30_000, 30_400)):
+        seen, path = set(), -1
+        for start in sorted((u for u in near if lo <= u < hi), key=lambda u: (len(near[u]), u)):
+            at, path = (start, path + 1) if start not in seen else (None, path)
+            while at is not None:
+                seen.add(at)
+                want[at] = (lo, path, len(seen) - 1)
+                at = min(((-x, len(near[v]), v) for x, v in near[at] if v not in seen), default=(None,))[-1]
+    got = {r["node"]: (r["root"], r["path"], r["place"]) for r in packing.paths(spark.createDataFrame(edges, "u bigint, v bigint, alike double")).collect()}
+    roots = {lo: min(u for u in near if u >= lo) for lo in (0, 30_000)}
+    assert got == {u: (roots[lo], path, place) for u, (lo, path, place) in want.items()}
 
 
 def test_related_documents_are_packed_together(spark):
