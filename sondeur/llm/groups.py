@@ -122,9 +122,11 @@ def crossing(sig: np.ndarray, root: np.ndarray, low: float, high: float, best: b
     return np.concatenate([a, i]).astype(np.int64), np.concatenate([b, j]).astype(np.int64), np.concatenate([y, x])
 
 
-def bucketed(bands: DataFrame) -> DataFrame:
+def bucketed(bands: DataFrame, sets: bool = False) -> DataFrame:
     """Those rows of bands (node, key, ...) that share their key with others, with `size`, their bucket's, and `head`, one of its nodes.
 
+    With `sets`, also `members`: a digest of the bucket's set of nodes.
+
     Buckets are measured where a single shuffle takes them, but for those that a sample of the nodes shows to be hot:
     their counts are aggregated before they move and joined, so that a bucket may hold a third of all nodes.  The
     sample decides on the way alone, never on the result.
@@ -134,14 +136,15 @@ def bucketed(bands: DataFrame) -> DataFrame:
     hot = stored(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("key"), "hot")
     n = hot.count()
     per = Window.partitionBy("key")
+    facts = {"size": F.count("*"), "head": head} | ({"members": F.bit_xor(F.xxhash64("node"))} if sets else {})
 
     def measured(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("size", F.count("*").over(per)).withColumn("head", head.over(per)).where("size > 1")
+        return rows.withColumns({name: fact.over(per) for name, fact in facts.items()}).where("size > 1")
 
     if not n:
         return measured(bands)
     warm = bands.join(small(hot, n), "key", "left_semi")
-    sizes = warm.groupBy("key").agg(F.count("*").alias("size"), head.alias("head"))
+    sizes = warm.groupBy("key").agg(*[fact.alias(name) for name, fact in facts.items()])
     return measured(bands.join(small(hot, n), "key", "left_anti")).unionByName(warm.join(small(sizes, n), "key").where("size > 1"))
 
 

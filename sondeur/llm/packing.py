@@ -4,7 +4,7 @@ Texts are read as words of letters and digits in lower case (in scripts without
 one).  Documents are related if they share passages: their similarity is the Jaccard similarity of their runs of
 SHINGLE words, estimated by BINS one-permutation minima.  KEYS of them are each a key of its own, so that one equal minimum
 makes a candidate (a pair at 0.05 is found with probability 0.87, one at 0.1 with 0.99).  Equal word sequences are one
-node.  Of the nodes that share a key all pairs are compared.  Buckets of more than LEAF are compared in tiles of about
+node.  Of the nodes that share a key all pairs are compared, once for all keys of the same nodes.  Buckets of more than LEAF are compared in tiles of about
 TILE by TILE nodes; large buckets linked by common nodes are taken as one group where that makes fewer pairs than each
 bucket alone.  Each node keeps its NEAREST neighbours, the nearest ones of all that it shares a key with.
 
@@ -185,9 +185,18 @@ def _in_tiles(large: DataFrame, sig: DataFrame) -> DataFrame:
     return tiles.join(sig, "node").select("key", "side", "node", "sig").repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(_near_tiles, "u bigint, v bigint, alike double")
 
 
+def member_sets(nodes: DataFrame) -> DataFrame:
+    """(key, node, size): the buckets of nodes (node, bands), those of the same nodes as one: near copies share most of their keys.
+
+    Sets whose digests meet by chance are compared together, which loses no pair.
+    """
+    shared = bucketed(nodes.select("node", F.explode("bands").alias("key")), sets=True)
+    return shared.select(F.xxhash64("size", "members").alias("key"), "node", "size").repartition("node").dropDuplicates(["key", "node"])
+
+
 def neighbours(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
     """(u, v, alike), u < v: the edges of the nearest-neighbour graph of nodes (node, bands) with sigs (node, sig), which may repeat."""
-    shared = stored(bucketed(nodes.select("node", F.explode("bands").alias("key"))).drop("head"), "shared")
+    shared = stored(member_sets(nodes), "shared")
     sig = signed(sigs, shared)
     found = shared.where(F.col("size") <= LEAF).join(sig, "node").select("key", "node", "sig").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near, "u bigint, v bigint, alike double")
     large = shared.where(F.col("size") > LEAF)

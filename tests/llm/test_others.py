@@ -229,6 +229,23 @@ def test_nearest_in_large_buckets_are_the_nearest_of_all(spark, monkeypatch, til
         assert all(x >= y for x, y in zip(own, want, strict=True))
 
 
+def test_buckets_of_the_same_nodes_are_one(spark):
+    """Also among those that a sample shows to be hot; each set of two or more nodes that share a key stays."""
+    keys = {i: [1, 2, 3] if i < 4500 else [] for i in range(5000)}
+    for a in range(4500, 5000, 5):  # two that share 30 keys, three of them that share 6, and keys of one node
+        for k in range(40):
+            for i in range(a, a + (2 if k < 30 else 3 if k < 36 else 1)):
+                keys[i].append(1000 * a + k)
+    nodes = spark.createDataFrame(list(keys.items()), "node bigint, bands array<bigint>")
+    got = defaultdict(set)
+    rows = packing.member_sets(nodes).collect()
+    for r in rows:
+        got[r["key"]].add(r["node"])
+    want = [set(range(4500))] + [{a, a + 1} for a in range(4500, 5000, 5)] + [{a, a + 1, a + 2} for a in range(4500, 5000, 5)]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert len(rows) == sum(map(len, want)) and all(r["size"] == len(got[r["key"]]) for r in rows)
+
+
 def test_large_components_are_walked_whole(spark):
     """By definition, along weak edges too: components of 25 000 and of 400 nodes, which end in one path and in many."""
     rng = random.Random(13)
