@@ -10,7 +10,7 @@ bucket alone.  Each node keeps its NEAREST neighbours, the nearest ones of all t
 
 In each connected component a path starts at the unvisited node of lowest degree and goes on to the most similar
 unvisited neighbour until there is none; then the next path starts.  A component is walked whole, along all its edges,
-however large it is: in one task, which holds 8 bytes for each end of an edge and about 40 for each node.
+however large it is: in one task, whose memory grows with the component.
 
 Paths are laid end to end: components by language, source and hash, in each its paths in the order of their start.
 The row of documents is cut into windows of WINDOW tokens (words between white space); a document that crosses a
