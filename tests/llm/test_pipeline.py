@@ -1,9 +1,13 @@
 """The pipeline's stages, each over what its predecessor kept, against brute-force versions in plain Python."""
 
 import hashlib
+import os
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -146,3 +150,24 @@ def test_empty_tables_through_the_chain(spark, messy, nothing, labels, tmp_path)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     left = corpus_pipeline.STAGES[1][1](spark, corpus_pipeline.STAGES[0][1](spark, docs, sf), sf)
     assert Counter(r["text"] for r in left.collect()) == Counter(r["text"] for r in docs.collect() if r["text"] and r["text"].split())
+
+
+def test_batches_of_long_texts_fit_a_small_heap(tmp_path):
+    """Over 1000 texts of 250 KB in one row group, read where a batch of 4096 rows doesn't fit."""
+    n, body = 1100, "lemon per quiras, solin turven the wolyar. " * 6000
+    docs = pa.table({"doc_id": range(n), "text": [f"{i} {body[: 250_000]}" for i in range(n)], "lang": ["en"] * n, "source": ["src1"] * n})
+    pq.write_table(docs, f"{tmp_path}/documents.parquet", use_dictionary=False, compression="zstd")
+    pq.write_table(pa.table({"doc_id": [0, 1, 2, 3], "quality": [1, 1, 0, 1]}), f"{tmp_path}/labels.parquet")
+    code = f"""
+import corpus_pipeline
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+docs = spark.read.parquet("{tmp_path}/documents.parquet")
+corpus_pipeline.STAGES[1][1](spark, docs, "{tmp_path}").write.parquet("{tmp_path}/out")
+"""
+    root = os.path.dirname(corpus_pipeline.__file__)
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 720m pyspark-shell", "PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-6000:]
+    # all texts are alike but for a number, so the good ones among the labelled are no outliers
+    assert pq.read_table(f"{tmp_path}/out").num_rows == n
