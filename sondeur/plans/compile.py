@@ -111,6 +111,8 @@ class Compiler:
         least = max(2, t if phrase else math.ceil(t / 2))
         rank = t >= least and self.config.with_positions and (self.proximity or phrase)
         keep = need_pos or rank
+        if phrase and t > 1 and t == len(children) and self._one_term(children):
+            return self.repeated(children, weight)
         tagged = [
             self.part(c, weight, keep).select("doc_id", "score", "fields", "pos", F.lit(i).alias("i"), F.lit(c.mandatory).alias("must"), F.lit(c.subtracted).alias("not"), F.lit(near[i]).alias("near"))
             for i, c in enumerate(children)
@@ -145,6 +147,19 @@ class Compiler:
         fields = F.col("fields") if kind == GROUP or phrase else F.array().cast("array<int>")
         return kept.select("doc_id", score.alias("score"), fields.alias("fields"), (F.col("all_pos") if need_pos else none).alias("pos"))
 
+    def _one_term(self, children: list[Part]) -> bool:
+        """Whether all children are one term of the index."""
+        first = children[0]
+        plain = all(c.children is None and c.field_name is None and not c.subtracted for c in children)
+        return plain and first.term in self.df and len({(c.term, c.weight) for c in children}) == 1
+
+    def repeated(self, children: list[Part], weight: float) -> DataFrame:
+        """A phrase of one term again and again: a document's only posting holds all that it needs, so nothing is grouped or shuffled."""
+        rows = self.term(children[0].term, weight * children[0].weight, True)
+        lists = F.array(*[F.struct(F.lit(i).alias("i"), F.col("pos")) for i in range(len(children))])
+        score = reduce(lambda a, b: a + b, [F.col("score")] * len(children))
+        return self.phrase(rows.select("doc_id", score.alias("score"), lists.alias("lists")), len(children))
+
     def phrase(self, found: DataFrame, terms: int) -> DataFrame:
         """Documents in which each term stands one position after the term before it; a phrase's positions are its starts."""
         shifted = F.transform("lists", lambda x, i: F.transform(x["pos"], lambda q: q["p"] - i.cast("int")))

@@ -214,3 +214,18 @@ def test_stop_words_and_stems(spark, shop):
     terms = {r["term"] for r in index.dictionary.collect()}
     assert "the" not in terms and "appl" in terms and "apple" not in terms
     assert {r["doc_id"] for r in search(index, "the apples ").matches.collect()} == {1, 2}
+
+
+def test_phrase_of_one_term_is_not_shuffled(alder, monkeypatch):
+    """It gives what grouping its children would, in each of its uses, without an exchange."""
+    from sondeur.plans.compile import Compiler
+
+    texts = ('"alder alder"', '"alder alder alder"', 'body:"alder alder" cedar', '+("alder alder" birch) cedar', '~"alder alder"', 'title:"alder alder"')
+    own = [found(alder, t) for t in texts]
+    plan = search(alder, '"alder alder" ', SearchOptions(max_suffix=0)).parts[0]
+    made = Compiler(alder, SearchOptions())
+    made.query([plan])
+    assert "Exchange" not in made.part(plan, 1.0, False)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Compiler, "_one_term", lambda self, children: False)
+    for t, x in zip(texts, own, strict=True):
+        assert found(alder, t) == pytest.approx(x), t
