@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,11 +37,33 @@ def patterns(forms: list[list[str]], stemmed: bool = False) -> list[re.Pattern[s
     return [re.compile(rf"(^|\W|_)({'|'.join(re.escape(f) for f in sorted(some, key=len, reverse=True))}){tail}(?=\W|$)", re.IGNORECASE) for some in forms if some]
 
 
+@cache
+def _word(pattern: str) -> str | None:
+    """The form, in lower case, of a pattern of `patterns` for one form of ASCII letters and digits; None for any other pattern."""
+    one = re.fullmatch(r"\(\^\|\\W\|_\)\(([A-Za-z0-9]+)\)\(\)\(\?=\\W\|\$\)", pattern)
+    return one[1].lower() if one else None
+
+
+def _matches(text: str, low: str | None, p: re.Pattern[str]) -> list[tuple[int, int]]:
+    """(position, length) of a pattern's matches; low: an ASCII text in lower case, in which a plain word is looked for without the pattern."""
+    word = _word(p.pattern) if low is not None else None
+    if word is None:
+        return [(m.start(2), len(m[2]) + len(m[3])) for m in p.finditer(text)]
+    out, at, n = [], low.find(word), len(word)
+    while at >= 0:
+        end = at + n
+        if (at == 0 or not low[at - 1].isalnum()) and (end == len(low) or not (low[end].isalnum() or low[end] == "_")):
+            out.append((at, n))
+        at = low.find(word, end if out and out[-1][0] == at else at + 1)
+    return out
+
+
 def closest(text: str, terms: list[re.Pattern[str]]) -> list[tuple[int, int]]:
     """(position, length) of one match of each term that occurs, as near to each other as they come, by position."""
+    low = text.lower() if text.isascii() else None
     found = []
     for k, p in enumerate(terms):
-        found += [(m.start(2), len(m[2]) + len(m[3]), k) for m in p.finditer(text)]
+        found += [(at, n, k) for at, n in _matches(text, low, p)]
     found.sort()
     present = {k for _, _, k in found}
     last: dict[int, tuple[int, int]] = {}
@@ -117,32 +140,53 @@ def document_segments(texts: list[tuple[str, str]], terms: list[re.Pattern[str]]
     for i, s in enumerate(out):
         window = closest(s["text"], terms)
         count = len(window) + (len(closest(s["heading"], terms)) if s["type"] == BOTH else 0)
-        s |= {"seg_no": i, "num_terms": count, "window": [{"pos": p, "len": n} for p, n in window], "highlight": highlight(s["text"], window)}
+        s |= {"seg_no": i, "num_terms": count, "chars": len(s["text"]), "window": [{"pos": p, "len": n} for p, n in window], "highlight": highlight(s["text"], window)}
     return out
 
 
-def segments(rows: DataFrame, forms: list[list[str]], content: tuple[str, ...] = ("body",), stemmed: bool = False) -> DataFrame:
-    """(doc_id, seg_no, type, text, heading, heading_link, num_terms, window, highlight) of rows (doc_id, texts)."""
+#: Characters of text whose segments are held at a time (a single longer document is taken whole).
+_CHARS_AT_ONCE = 1 << 20
+#: The columns of segments; chars, the length of their text, only where it is asked for.
+_COLUMNS = {"chars": "int", "seg_no": "int", "type": "string", "text": "string", "heading": "string", "heading_link": "string", "num_terms": "int", "window": "array<struct<pos:int,len:int>>", "highlight": "string"}
+_ARROW = {"int": pa.int32(), "string": pa.string(), "array<struct<pos:int,len:int>>": pa.list_(pa.struct([("pos", pa.int32()), ("len", pa.int32())]))}
+
+
+def segments(rows: DataFrame, forms: list[list[str]], content: tuple[str, ...] = ("body",), stemmed: bool = False, columns: tuple[str, ...] = tuple(_COLUMNS)[1:], most: int | None = None) -> DataFrame:
+    """(doc_id, seg_no, type, text, heading, heading_link, num_terms, window, highlight) of rows (doc_id, texts), or those of `columns` alone.
+
+    most: only so many of each row's segments, those that `best_segments` puts first; whichever it takes are among them.
+    """
     terms = patterns(forms, stemmed)
-    names = ["seg_no", "type", "text", "heading", "heading_link", "num_terms", "window", "highlight"]
-    kinds = [pa.int32(), *[pa.string()] * 4, pa.int32(), pa.list_(pa.struct([("pos", pa.int32()), ("len", pa.int32())])), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, found = [], []
-            for i, texts in enumerate(batch.column(1).to_pylist()):
-                some = document_segments([(x["field"], x["text"]) for x in texts or ()], terms, content)
+            own, found, held = [], [], 0
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *(pa.array([s[n] for s in found], _ARROW[_COLUMNS[n]]) for n in columns)], ["doc_id", *columns])
+
+            for i, texts in enumerate(batch.column(1)):  # one document's objects at a time
+                texts = [(x["field"], x["text"]) for x in texts.as_py() or ()]
+                some = document_segments(texts, terms, content)
+                if most is not None and len(some) > most:
+                    some = sorted(some, key=lambda s: (s["num_terms"], s["type"], s["chars"], -s["seg_no"]), reverse=True)[:most]
                 own += [i] * len(some)
                 found += some
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *(pa.array([s[n] for s in found], k) for n, k in zip(names, kinds, strict=True))], ["doc_id", *names])
-
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, seg_no int, type string, text string, heading string, heading_link string, num_terms int, window array<struct<pos:int,len:int>>, highlight string"
+                held += sum(len(t or "") for _, t in texts)
+                if held >= _CHARS_AT_ONCE:
+                    yield made()
+                    own, found, held = [], [], 0
+            if found:
+                yield made()
+
+    schema = ", ".join([f"doc_id {dict(rows.dtypes)['doc_id']}", *(f"{n} {_COLUMNS[n]}" for n in columns)])
     return rows.select("doc_id", "texts").mapInArrow(run, schema)
 
 
 def best_segments(found: DataFrame, most: int = 2) -> DataFrame:
-    """The best segments of each document: most terms, then the fuller type, then the longer text; only those as good as the first."""
-    per = Window.partitionBy("doc_id").orderBy(F.desc("num_terms"), F.desc("type"), F.desc(F.char_length("text")), "seg_no")
+    """The best segments of each document: most terms, then the fuller type, then the longer text; only those as good as the first.  found has their text, or chars."""
+    chars = F.col("chars") if "chars" in found.columns else F.char_length("text")
+    per = Window.partitionBy("doc_id").orderBy(F.desc("num_terms"), F.desc("type"), F.desc(chars), "seg_no")
     first = F.first(F.struct("num_terms", "type")).over(per.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ranked = found.withColumn("place", F.row_number().over(per)).withColumn("first", first)
     return ranked.where((F.col("place") <= most) & (F.col("num_terms") == F.col("first.num_terms")) & (F.col("type") == F.col("first.type"))).drop("first")

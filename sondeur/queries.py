@@ -607,7 +607,7 @@ _register(
     "res_kv", "the ", f"WITH {_TOKENS}, top AS (SELECT doc_id, score FROM ({_THE}) ORDER BY round(score, 9) DESC, doc_id LIMIT 10) SELECT doc_id, text AS body FROM top JOIN documents USING (doc_id)",
     shape=lambda q: results.first_values(results.stored_fields(q.top(10).select("doc_id"), q.index), "body").select("doc_id", "body"),
 )
-_register("res_segments", "the and", None, options=_facet(), shape=lambda q: results.segments(results.stored_fields(q.matches.select("doc_id"), q.index), [[f] for f in q.forms()]).select("doc_id", "seg_no", "type", "num_terms", "window"))
+_register("res_segments", "the and", None, options=_facet(), shape=lambda q: results.segments(results.stored_fields(q.matches.select("doc_id"), q.index), [[f] for f in q.forms()], columns=("seg_no", "type", "num_terms", "window")))
 _register("res_highlight", "ention the ", None, shape=lambda q: results.best_segments(results.segments(results.stored_fields(q.matches.select("doc_id"), q.index), [[f] for f in q.forms()])).select("doc_id", "highlight", "num_terms"))
 
 

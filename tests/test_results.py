@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sondeur.config import FieldConfig, IndexConfig, SearchOptions
@@ -199,3 +200,41 @@ def test_a_stream_maintains_an_index(spark, tmp_path):
         assert query.exception() is None and k >= 0
     want = build_index(collection(spark, [(3, "apple pear", "x"), (1, "pear", "y")]), CONFIG)
     assert scores(incremental.read(spark, folder, CONFIG)) == scores(want)
+
+
+class _Rows:
+    """Stands for rows (doc_id, texts), and gives what would run over their batches."""
+
+    dtypes = [("doc_id", "bigint")]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_segments_are_held_a_few_texts_at_a_time():
+    """A batch of long texts gives several batches, and of a document no more segments than are asked for."""
+    texts = [[{"field": f, "text": f"{t} {i} apple " + "x " * 100_000} for f, t in (("heading", "h"), ("body", "a"), ("heading", "pear"), ("body", "pear"))] for i in range(12)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(12)), "texts": texts})
+    run = results.segments(_Rows(), [["apple"], ["pear"]])
+    out = list(run(iter([batch])))
+    assert len(out) > 3 and sum(b.num_rows for b in out) == 48
+    whole = pa.Table.from_batches(out)
+    best = pa.Table.from_batches(results.segments(_Rows(), [["apple"], ["pear"]], columns=("seg_no", "chars", "num_terms"), most=2)(iter([batch])))
+    assert best["doc_id"].to_pylist() == [i for i in range(12) for _ in range(2)]
+    assert best["seg_no"].to_pylist() == [3, 1] * 12
+    assert best["num_terms"].to_pylist() == [n for i in range(12) for n in (whole["num_terms"].to_pylist()[4 * i + 3], whole["num_terms"].to_pylist()[4 * i + 1])]
+    assert set(best["chars"].to_pylist()) <= {len(t) for t in whole["text"].to_pylist()}
+
+
+def test_plain_words_are_found_as_by_their_pattern():
+    rng = random.Random(2)
+    terms = results.patterns([["ab"], ["a"], ["B1"], ["a", "ab"]])
+    for _ in range(3000):
+        text = "".join(rng.choice("aAbB1_ -\n") for _ in range(rng.randrange(12)))
+        for p in terms:
+            assert results._matches(text, text.lower(), p) == [(m.start(2), len(m[2]) + len(m[3])) for m in p.finditer(text)], (text, p)
+    assert [results._word(p.pattern) for p in terms] == ["ab", "a", "b1", None]
+    assert results.closest("x THE ſ", results.patterns([["the"], ["s"]])) == [(2, 3), (6, 1)]
