@@ -608,7 +608,7 @@ _register(
     shape=lambda q: results.first_values(results.stored_fields(q.top(10).select("doc_id"), q.index), "body").select("doc_id", "body"),
 )
 _register("res_segments", "the and", None, options=_facet(), shape=lambda q: results.segments(results.stored_fields(q.matches.select("doc_id"), q.index), [[f] for f in q.forms()], columns=("seg_no", "type", "num_terms", "window")))
-_register("res_highlight", "ention the ", None, shape=lambda q: results.best_segments(results.segments(results.stored_fields(q.matches.select("doc_id"), q.index), [[f] for f in q.forms()])).select("doc_id", "highlight", "num_terms"))
+_register("res_highlight", "ention the ", None, shape=lambda q: results.best_segments(results.segments(results.stored_fields(q.matches.select("doc_id"), q.index), [[f] for f in q.forms()], columns=("seg_no", "type", "chars", "num_terms", "highlight"), most=2)).select("doc_id", "highlight", "num_terms"))
 
 
 @query(r"SELECT page_id, 'https://example.org/' || regexp_replace(url, '^https?://', '') || '#top' AS link FROM pages")
