@@ -70,8 +70,9 @@ class _Tokens:
         return [np.bincount(self.doc[self.field == i], minlength=self.n).astype(np.int32) for i in range(fields)]
 
 
-#: Words that are looked at together.
-_WORDS_AT_ONCE = 1 << 20
+#: Words that are looked at together, and words whose terms are remembered: a task's memory is bounded by both and by its batches.
+_WORDS_AT_ONCE = 1 << 18
+_KNOWN = 1 << 17
 
 
 def _slices(words: pa.Array) -> Iterator[tuple[int, int]]:
@@ -117,7 +118,7 @@ def _batched(batches: Iterable[pa.RecordBatch], analyzer: Analyzer) -> Iterator[
 
     def term(word: str) -> str | None:
         if word not in known:
-            if len(known) > 1_000_000:  # only to bound memory: what is forgotten is worked out again
+            if len(known) >= _KNOWN:  # only to bound memory: what is forgotten is worked out again
                 known.clear()
             known[word] = analyzer.term(word)
         return known[word]
@@ -144,6 +145,48 @@ def tokens(collection: DataFrame, config: IndexConfig) -> DataFrame:
     return _with_words(collection, config).select("doc_id", *_INPUT).mapInArrow(run, f"doc_id {dict(collection.dtypes)['doc_id']}, pos int, field_id int, term string")
 
 
+def _counts(collection: DataFrame, config: IndexConfig, by: Column) -> DataFrame:
+    """(by, term, cf, df) of parts of a collection: tokens, and rows that hold the term.  Parts are added up by `by` and term."""
+    analyzer = analyzer_of(config)
+    rows = _with_words(collection, config).select(by.alias("by"), *_INPUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in _batched(batches, analyzer):
+            width = max(1, len(t.terms))
+            held, n = np.unique(t.doc * width + t.code, return_counts=True)  # by row and term
+            of = part.column(0).dictionary_encode("encode")
+            own, at = np.unique(of.indices.to_numpy(zero_copy_only=False)[held // width] * width + held % width, return_inverse=True)
+            cf, df = np.bincount(at, n, minlength=len(own)).astype(np.int64), np.bincount(at, minlength=len(own))
+            yield pa.RecordBatch.from_arrays([of.dictionary.take(pa.array(own // width)), pa.array(t.terms, pa.string()).take(pa.array(own % width)), pa.array(cf), pa.array(df)], ["by", "term", "cf", "df"])
+
+    return rows.mapInArrow(run, f"by {dict(rows.dtypes)['by']}, term string, cf bigint, df bigint")
+
+
+def term_counts(collection: DataFrame, config: IndexConfig, by: str | None = None) -> DataFrame:
+    """(term, cf), or (<by>, term, cf): how many tokens of each term a collection has, by a column of it."""
+    rows = _counts(collection, config, F.col(by) if by else F.lit(0))
+    keys = [F.col("by").alias(by), "term"] if by else ["term"]
+    return rows.groupBy(*keys).agg(F.sum("cf").alias("cf"))
+
+
+def term_frequencies(collection: DataFrame, config: IndexConfig) -> DataFrame:
+    """(term, cf, df): df counts distinct doc_ids, null not among them.
+
+    Rows are counted where their terms are made, so tokens are neither hashed nor shuffled; a doc_id of several rows is found
+    beforehand, and its terms alone are made distinct.
+    """
+    ids = collection.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    if ids.isEmpty():
+        return _counts(collection, config, F.lit(0)).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    again = ids.select(F.col("doc_id").alias("__again"))
+    marked = collection.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left")
+    several = F.col("__again").isNotNull() | F.col("doc_id").isNull()
+    parts = _counts(marked, config, several).select("term", "cf", F.when(F.col("by"), F.lit(0)).otherwise(F.col("df")).alias("df"))
+    more = tokens(marked.where(F.col("__again").isNotNull()).drop("__again"), config).select("term", "doc_id").distinct()
+    rows = parts.unionByName(more.select("term", F.lit(0).cast("bigint").alias("cf"), F.lit(1).cast("bigint").alias("df")))
+    return rows.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+
 def _built(collection: DataFrame, config: IndexConfig) -> DataFrame:
     """(term, doc_id, tf_<i>, pos_<i>, len_<i> ...), i a field's id: a row for each term of each document, and one without a term
     for each document, so that one pass makes postings and lengths.

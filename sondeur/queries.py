@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .config import FieldConfig, IndexConfig, SearchOptions
 from .functions.analysis import GAP, STOP_WORDS, Analyzer, prepared_sql, sql_text, terms_sql
 from .operators import incremental, results
-from .operators.index import Index, build_index, number, one_zone, read_index, tokens, zones_of
+from .operators.index import Index, build_index, number, one_zone, read_index, term_counts, term_frequencies, tokens, zones_of
 from .operators.search import Query, days, facet_filters, facet_values, search
 from .plans.resolve import corrections, prefixed
 from .sources.files import Loaders, csv_zones, json_column, load_folder
@@ -158,8 +158,13 @@ def _register(name: str, text: str, sql: str | None, index: Callable[[SparkSessi
 
 # Analysis
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts alone, for what needs no facets."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", one_zone("body", F.col("text")).alias("zones"))
+
+
 def _doc_tokens(spark: SparkSession, sf_dir: str, config: IndexConfig = DOCUMENTS) -> DataFrame:
-    return tokens(documents(spark, sf_dir), config)
+    return tokens(_texts(spark, sf_dir), config)
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, term, count(*) AS n FROM tok GROUP BY ALL")
@@ -180,8 +185,7 @@ def tok_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH w AS (SELECT lang, unnest({terms_sql('text')}) AS term FROM documents) SELECT lang, term, count(*) AS n FROM w WHERE term IS NOT NULL GROUP BY ALL")
 def tok_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return _doc_tokens(spark, sf_dir).join(langs, "doc_id").groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return term_counts(_texts(spark, sf_dir), DOCUMENTS, by="lang").select("lang", "term", F.col("cf").alias("n"))
 
 
 @query(f"WITH w AS (SELECT doc_id, unnest({terms_sql('text', 6)}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM w WHERE term IS NOT NULL GROUP BY ALL")

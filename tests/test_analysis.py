@@ -9,7 +9,7 @@ from sondeur.config import FieldConfig, IndexConfig
 from sondeur.functions import folding
 from sondeur.functions.analysis import Analyzer, analyzer_of, register
 from sondeur.functions.stemmer import STEMMERS, english, stemmer
-from sondeur.operators.index import build_index, build_postings, one_zone, tokens
+from sondeur.operators.index import build_index, build_postings, one_zone, term_counts, term_frequencies, tokens
 
 
 def config(**kw):
@@ -118,3 +118,21 @@ def test_postings_are_grouped_tokens(spark, sf):
     lengths = p.groupBy("doc_id").agg(F.sum("tf_1").alias("n"), F.min("len_1").alias("a"), F.max("len_1").alias("b"))
     assert lengths.where("n != a OR n != b").count() == 0
     assert build_index(rows, config()).lengths.join(lengths, "doc_id").where("len_1 != n").count() == 0
+
+
+def test_terms_are_counted_where_they_are_made(spark):
+    """Counts and distinct doc_ids by term, with ids that repeat or are null; by a column, each row counts once."""
+    docs = [(1, "en", "a b a"), (2, "fr", "a"), (2, "en", "a c"), (None, "en", "b d"), (3, None, "c. C"), (4, "fr", None), (None, "fr", "b")]
+    for some in (docs, [d for d in docs if d[0] not in (2, None)]):
+        rows = spark.createDataFrame(some, "id bigint, lang string, text string").select(F.col("id").alias("doc_id"), "lang", one_zone("body", F.col("text")).alias("zones"))
+        cf, df, by = {}, {}, {}
+        for i, lang, text in some:
+            for w in (text or "").lower().replace(".", "").split():
+                cf[w] = cf.get(w, 0) + 1
+                by[lang, w] = by.get((lang, w), 0) + 1
+                df.setdefault(w, set()).update({i} - {None})
+        got = term_frequencies(rows, config()).collect()
+        assert {r["term"]: (r["cf"], r["df"]) for r in got} == {w: (n, len(df[w])) for w, n in cf.items()} and len(got) == len(cf)
+        assert {(r["lang"], r["term"]): r["cf"] for r in term_counts(rows, config(), by="lang").collect()} == by
+    plan = term_frequencies(rows, config())._jdf.queryExecution().executedPlan().toString()
+    assert not any("doc_id" in line for line in plan.splitlines() if "HashAggregate" in line)
