@@ -214,7 +214,7 @@ def _han_sql() -> str:
 
 @query(_han_sql())
 def tok_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_tokens(spark, sf_dir, IndexConfig(fields=DOCUMENTS.fields, analyzer="chinese")).groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+    return term_frequencies(_texts(spark, sf_dir), IndexConfig(fields=DOCUMENTS.fields, analyzer="chinese"))
 
 
 _LETTERS, _GLYPHS = "abcdefghijklm", "萬東絲們我他書學車門馬見長"
