@@ -234,8 +234,7 @@ def _han_letters_sql() -> str:
 def tok_chinese_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with half of their letters as Han characters, traditional ones among them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", one_zone("body", F.translate(F.lower("text"), _LETTERS, _GLYPHS)).alias("zones"))
-    found = tokens(docs, IndexConfig(fields=(FieldConfig("body", 1.0),), analyzer="chinese"))
-    return found.groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+    return term_frequencies(docs, IndexConfig(fields=(FieldConfig("body", 1.0),), analyzer="chinese"))
 
 
 # The index's tables
