@@ -190,12 +190,12 @@ def tok_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH w AS (SELECT doc_id, unnest({terms_sql('text', 6)}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM w WHERE term IS NOT NULL GROUP BY ALL")
 def tok_maxlen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_tokens(spark, sf_dir, IndexConfig(fields=DOCUMENTS.fields, max_term_len=6)).groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+    return term_frequencies(_texts(spark, sf_dir), IndexConfig(fields=DOCUMENTS.fields, max_term_len=6))
 
 
 @query(f"WITH w AS (SELECT doc_id, unnest({terms_sql('text', 80, tuple(STOP_WORDS))}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM w WHERE term IS NOT NULL GROUP BY ALL")
 def tok_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_tokens(spark, sf_dir, IndexConfig(fields=DOCUMENTS.fields, ignore_stop_words=True)).groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+    return term_frequencies(_texts(spark, sf_dir), IndexConfig(fields=DOCUMENTS.fields, ignore_stop_words=True))
 
 
 @query()
