@@ -201,7 +201,7 @@ def tok_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tok_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems are beyond SQL; the tests hold them against the stemmer, word by word."""
-    return _doc_tokens(spark, sf_dir, IndexConfig(fields=DOCUMENTS.fields, analyzer="ascii_stemmer")).groupBy("term").agg(F.count("*").alias("cf"))
+    return term_counts(_texts(spark, sf_dir), IndexConfig(fields=DOCUMENTS.fields, analyzer="ascii_stemmer"))
 
 
 def _han_sql() -> str:
