@@ -249,6 +249,8 @@ def number(text: Column, f: FieldConfig) -> Column:
 
 #: The layout of stored indexes; a reader takes no other.
 VERSION = 2
+#: Estimated bytes of a collection whose postings one task lays out for a bucket, and the most such parts a bucket gets.
+PART_BYTES, MOST_PARTS = 8 << 20, 64
 #: Postings lists, and corrections, that an index remembers if it is asked to.
 REMEMBERED = 8
 
@@ -316,12 +318,20 @@ class Index:
         rows = rows.drop("bucket", "segment")
         own = F.col("term").isNull()
         by = F.when(own, F.lit(-1)).otherwise(F.pmod(F.xxhash64("term"), F.lit(self.config.buckets)).cast("int"))
-        salt = F.pmod(F.xxhash64("doc_id"), F.when(own, self.config.spread * self.config.buckets).otherwise(self.config.spread))
-        laid = rows.withColumn("bucket", by).repartition("bucket", salt).sortWithinPartitions("bucket", "term", "doc_id")
+        spread = self._spread(rows)
+        salt = F.pmod(F.xxhash64("doc_id"), F.when(own, spread * self.config.buckets).otherwise(spread))
+        # with more parts than configured, so many tasks that few parts meet in one; else Spark's own number, which it may lower
+        tasks = [2 * spread * self.config.buckets] if spread > self.config.spread else []
+        laid = rows.withColumn("bucket", by).repartition(*tasks, "bucket", salt).sortWithinPartitions("bucket", "term", "doc_id")
         laid.write.mode(mode).partitionBy("bucket").parquet(path)
         if not exists(rows.sparkSession, f"{path}/bucket=-1"):  # no documents; the table still has its columns
             laid.limit(0).drop("bucket").write.mode(mode).parquet(f"{path}/bucket=-1")
 
+    def _spread(self, rows: DataFrame) -> int:
+        """Parts of a bucket: as configured, or for a large collection so many, up to MOST_PARTS, that a part's sort doesn't grow with it."""
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return max(self.config.spread, min(MOST_PARTS, -(-size // (self.config.buckets * PART_BYTES))))
+
     def scan(self, terms: list[str]) -> DataFrame:
         """Postings of a few terms: only their buckets are read."""
         if self.remember and 0 < len(terms) <= REMEMBERED:

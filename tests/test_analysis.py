@@ -136,3 +136,20 @@ def test_terms_are_counted_where_they_are_made(spark):
         assert {(r["lang"], r["term"]): r["cf"] for r in term_counts(rows, config(), by="lang").collect()} == by
     plan = term_frequencies(rows, config())._jdf.queryExecution().executedPlan().toString()
     assert not any("doc_id" in line for line in plan.splitlines() if "HashAggregate" in line)
+
+
+def test_large_collections_are_laid_out_in_more_parts(spark, tmp_path, monkeypatch):
+    """A bucket's postings are sorted in more parts where there is more to sort, and are the same."""
+    from sondeur.operators import index
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), one_zone("body", F.concat(F.lit("a b "), F.col("id").cast("string"))).alias("zones"))
+    few = config(buckets=1, spread=2)
+    plain = build_index(docs, few).write(str(tmp_path / "plain"))
+    monkeypatch.setattr(index, "PART_BYTES", 1 << 8)
+    large = build_index(docs, few)
+    assert large._spread(large.built) > 2
+    large = large.write(str(tmp_path / "large"))
+    files = lambda x: len(list((tmp_path / x / "postings" / "bucket=0").glob("*.parquet")))
+    assert files("plain") <= 2 < files("large")
+    rows = lambda x: sorted(map(str, x.postings.collect()))
+    assert rows(large) == rows(plain) and large.stats == plain.stats
